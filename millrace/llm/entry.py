@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import html_extract, media, quality_crf, url_filter
+from millrace.llm import html_extract, license_scan, media, packing, quality_crf, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +39,17 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_as_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summarize(license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_crf, op2_url_filter, op3_html_extraction, op5_media_columns)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_url_filter, op3_html_extraction, op5_media_columns, op7_license_scan, op10_best_fit_packing)}
 
 
 #: Where plain SQL gives the same rows.
