@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import html_extract, license_scan, line_dedup, media, packing, quality_crf, topk, url_filter
+from millrace.llm import html_extract, license_scan, line_dedup, media, ngram_join, packing, quality_crf, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,13 +52,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_crf, op2_url_filter, op3_html_extraction, op4_exact_topk, op5_media_columns, op7_license_scan, op8_line_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_url_filter, op3_html_extraction, op4_exact_topk, op5_media_columns, op7_license_scan, op8_line_dedup, op9_ngram_jaccard_join, op10_best_fit_packing)}
 
 
 #: Where plain SQL gives the same rows.
