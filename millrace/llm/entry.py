@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import html_extract, license_scan, line_dedup, media, ngram_join, packing, quality_crf, topk, url_filter
+from millrace.llm import html_extract, license_scan, line_dedup, media, mixing, ngram_join, packing, quality_crf, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,16 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_as_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Parameters of the mix: the domains' shares, and the clean domain's own size as the measure of the budget.
+MIX = {"targets": {"clean": 0.95, "toxic": 0.04, "junk": 0.01}, "anchor": "clean", "headroom": 1.05}
+
+
+def op6_target_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mixing.mix(docs, mixing.domains_of_labels(table(spark, sf_dir, "labels")), **MIX)
+    return mixed.select("doc_id", "n_tokens", "p_clean", "p_toxic", "p_junk", "rate", "copies")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summarize(license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -62,7 +72,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_crf, op2_url_filter, op3_html_extraction, op4_exact_topk, op5_media_columns, op7_license_scan, op8_line_dedup, op9_ngram_jaccard_join, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_url_filter, op3_html_extraction, op4_exact_topk, op5_media_columns, op6_target_mixing, op7_license_scan, op8_line_dedup, op9_ngram_jaccard_join, op10_best_fit_packing)}
 
 
 #: Where plain SQL gives the same rows.

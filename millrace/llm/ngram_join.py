@@ -209,14 +209,8 @@ def _block_links(threshold: float):
     return count
 
 
-def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, count_links: bool = True) -> DataFrame:
-    """``key``, ``class_id`` (the least ``key`` of the component) and ``n_links`` (linked documents, copies among them) for each row.
-
-    Null texts count as empty; empty texts have no set and are linked with nothing, each row a class of its own with its own
-    ``key``. A row that is repeated is a copy of itself. Null keys are allowed: a class of null keys only has a null id. An
-    empty table gives an empty result. Other columns are left out. Without ``count_links`` the column is left out and the
-    blockwise comparison with it.
-    """
+def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (doc, hash, text), their sketches with the nodes' ids, and the nodes with copies, least doc and component."""
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").alias("doc"), F.xxhash64(whole).alias("hash"), whole.alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
@@ -244,24 +238,47 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
         paths = materialize(large.join(nodes.select("id", "tokens"), "id").select("bucket", "id", "tokens").mapInArrow(_next_paths, "bucket bigint, id bigint").distinct(), "paths")
     joined = nodes.select("id", "copies", "doc", "hash").join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     joined = materialize(joined, "classes")
+    return rows, sketched, joined
+
+
+def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """``key``, ``class_id`` (the least ``key`` of the component) and ``n_links`` (linked documents, copies among them) for each row.
+
+    Null texts count as empty; empty texts have no set and are linked with nothing, each row a class of its own with its own
+    ``key``. A row that is repeated is a copy of itself. Null keys are allowed: a class of null keys only has a null id. An
+    empty table gives an empty result. Other columns are left out.
+    """
+    rows, sketched, joined = _classes(docs, key, text, threshold)
     named = joined.groupBy("comp").agg(F.min("doc").alias("class_id"), F.count("*").alias("n"))
     result = joined.join(named, "comp")
-    if count_links:
-        linked = result.where("n > 1").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
-        content = _texts(linked.select("id"), sketched, rows)
-        linked = linked.join(content, "id").select("comp", "id", "copies", "text", "nb", F.pmod("id", "nb").cast("int").alias("x"))
-        every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-        left = linked.select("id", "text", "comp", "x", every.alias("y"))
-        renewed = linked.select(*[F.col(c).alias(c) for c in ("id", "copies", "text", "comp", "nb", "x")])  # columns of its own
-        right = renewed.select("id", "copies", "text", "comp", F.col("x").alias("y"), every.alias("x"))
-        blocks = left.groupBy("comp", "x", "y").cogroup(right.groupBy("comp", "x", "y")).applyInArrow(_block_links(threshold), "id bigint, links bigint")
-        result = result.join(blocks.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
-    own = [c for c in ("class_id", "n_links") if c in result.columns]
-    out = sketched.select("doc", "id").join(result.select("id", *own), "id", "left")
-    values = [F.when(F.col("id").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id")]
-    if count_links:
-        values.append(F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    return out.select(F.col("doc").alias(key), *values)
+    linked = result.where("n > 1").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
+    content = _texts(linked.select("id"), sketched, rows)
+    linked = linked.join(content, "id").select("comp", "id", "copies", "text", "nb", F.pmod("id", "nb").cast("int").alias("x"))
+    every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    left = linked.select("id", "text", "comp", "x", every.alias("y"))
+    renewed = linked.select(*[F.col(c).alias(c) for c in ("id", "copies", "text", "comp", "nb", "x")])  # columns of its own
+    right = renewed.select("id", "copies", "text", "comp", F.col("x").alias("y"), every.alias("x"))
+    blocks = left.groupBy("comp", "x", "y").cogroup(right.groupBy("comp", "x", "y")).applyInArrow(_block_links(threshold), "id bigint, links bigint")
+    result = result.join(blocks.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    out = sketched.select("doc", "id").join(result.select("id", "class_id", "n_links"), "id", "left")
+    class_id = F.when(F.col("id").isNull(), F.col("doc")).otherwise(F.col("class_id"))
+    return out.select(F.col("doc").alias(key), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that are first in their class, in order of ``key`` and text hash; all columns as they are.
+
+    Rows with equal key and text stay once. Rows without words stay all; for nulls see ``similarity_classes``.
+    """
+    _, sketched, joined = _classes(docs, key, text, threshold)
+    least = sketched.where("id is not null").groupBy("id").agg(F.min(F.struct("doc", "hash")).alias("at"))
+    first = least.join(joined.select("id", "comp"), "id").groupBy("comp").agg(F.min("at").alias("at")).select(F.col("at.doc").alias("__doc"), F.col("at.hash").alias("__at"))
+    empty = sketched.where("id is null").select(F.col("doc").alias("__doc"), F.col("hash").alias("__at")).distinct()
+    stay = first.withColumn("__once", F.lit(True)).union(empty.withColumn("__once", F.lit(False)))
+    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    kept = rows.join(stay, rows[key].eqNullSafe(stay["__doc"]) & (rows["__hash"] == stay["__at"]))
+    once = kept.where("__once").dropDuplicates([key, "__hash"])
+    return once.union(kept.where("not __once")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _texts(ids: DataFrame, sketched: DataFrame, rows: DataFrame) -> DataFrame:
