@@ -45,7 +45,7 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Parameters of the mix: the domains' shares, and the clean domain's own size as the measure of the budget.
-MIX = {"targets": {"clean": 0.95, "toxic": 0.04, "junk": 0.01}, "anchor": "clean", "headroom": 1.05}
+MIX = {"targets": {"clean": 0.95, "toxic": 0.04, "junk": 0.01}, "anchor": "clean", "headroom": 1.15}
 
 
 def op6_target_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

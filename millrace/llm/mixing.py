@@ -1,7 +1,8 @@
 """Mixing documents to target weights of domains with soft membership, with DataFrame functions only.
 
 A labelled table names the domain of some documents. A naive Bayes classifier over words, word beginnings and classes of
-symbol density, its features chosen by likelihood ratio, gives every document posteriors of all domains. Then a rate, its
+symbol density, its features chosen by likelihood ratio, scores every document in every domain; a scale and an offset for each
+domain, fitted on labelled documents that the scores were not learned from, turn the scores into posteriors. Then a rate, its
 expected number of copies, is fitted to every document such that the expected token totals of the domains, each document
 counting towards each domain by its posterior, come close to the target weights of a token budget: least squares over rates
 between bounds, by projected gradient steps from rate 1.
@@ -13,6 +14,7 @@ weighted by tokens, so the step length follows from the largest eigenvalue of a
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +23,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import materialize
 
 #: Documents that the classifier is fitted on, features that it keeps, and documents that a feature must be in.
-SAMPLE, FEATURES, LEAST = 4000, 2048, 4
+SAMPLE, FEATURES, LEAST = 6000, 512, 8
+#: Log likelihood ratio that a feature must have, and documents' worth of the pooled rate in each domain's rate.
+SURE, POOLED = 12.0, 30.0
 
 
 def _sum(columns: list[Column]) -> Column:
@@ -40,29 +44,35 @@ def _features(docs: DataFrame, key: str, text: str) -> DataFrame:
     return words.where("w <> ''").select("doc", "hash", F.explode(F.array(F.col("w"), F.concat(F.lit("^"), F.substring("w", 1, 5)))).alias("f"))
 
 
-def weights(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str, text: str, sample: int = SAMPLE) -> tuple[DataFrame, dict[str, int]]:
-    """The features' log probabilities ``w0``, ``w1``, ... by domain (``FEATURES`` rows at most), and the domains' numbers of documents.
+def weights(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str, text: str, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
+    """The features' log probabilities ``w0``, ``w1``, ... by domain (``FEATURES`` rows at most), and the domain of documents left to calibrate on.
 
-    Fitted on the ``sample`` labelled documents with the smallest hash of their id.
+    Of the ``sample`` labelled documents with the smallest hash of their id, two thirds give the features, one is left.
     """
     marked = labelled.where(F.col("domain").isin(domains) & F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("doc")).agg(F.min("domain").alias("domain"))
-    some = marked.orderBy(F.xxhash64(F.col("doc").cast("string")), "doc").limit(sample)
+    every_one = marked.withColumn("h", F.xxhash64(F.col("doc").cast("string"))).orderBy("h", "doc").limit(sample)
+    some, rest = every_one.where("pmod(h, 3) > 0").drop("h"), every_one.where("pmod(h, 3) = 0").drop("h")
     own = docs.withColumnRenamed(key, "doc").join(F.broadcast(some), "doc")
     seen = materialize(_features(own, "doc", text).distinct().join(F.broadcast(some), "doc"), "features")
-    sizes = {r.domain: r.n for r in seen.select("doc", "hash", "domain").distinct().groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
+    counted = seen.groupBy("domain").agg(F.count_distinct("doc", "hash").alias("n"), F.count("*").alias("all")).collect()
+    sizes = {r.domain: r.n for r in counted}
+    # features of all documents of a domain: their number, not the documents', keeps long documents from looking likelier
+    size = {r.domain: r["all"] for r in counted}
+    total = sum(size.values())
     table = seen.groupBy("f").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)])
     n = [F.col(f"n{i}") for i in range(len(domains))]
     every = _sum(n)
-    # twice the log likelihood ratio of the feature's spread over the domains
-    ratio = _sum([F.when(c > 0, c * F.log(c * F.lit(total) / (every * F.lit(max(sizes.get(d, 0), 1))))).otherwise(0.0) for c, d in zip(n, domains, strict=True)])
-    chosen = table.where(every >= LEAST).orderBy(F.desc(ratio), "f").limit(FEATURES)
-    return chosen.select("f", *[F.log((c + 0.5) / (sizes.get(d, 0) + 1.0)).alias(f"w{i}") for i, (c, d) in enumerate(zip(n, domains, strict=True))]), sizes
+    pooled = POOLED * total / max(sum(sizes.values()), 1)
+    # the log likelihood ratio of the feature's spread over the domains
+    ratio = _sum([F.when(c > 0, c * F.log(c * F.lit(total) / (every * F.lit(max(size.get(d, 0), 1))))).otherwise(0.0) for c, d in zip(n, domains, strict=True)])
+    chosen = table.where((every >= LEAST) & (ratio >= SURE)).orderBy(F.desc(ratio), "f").limit(FEATURES)
+    found = chosen.select("f", *[F.log((c + every * F.lit(pooled / max(total, 1))) / (size.get(d, 0) + pooled)).alias(f"w{i}") for i, (c, d) in enumerate(zip(n, domains, strict=True))])
+    return found, rest
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str, text: str, sample: int = SAMPLE) -> DataFrame:
     """``doc``, ``hash``, ``n`` (words) and ``p0``, ``p1``, ... for every different document."""
-    table, sizes = weights(docs, labelled, domains, key, text, sample)
+    table, rest = weights(docs, labelled, domains, key, text, sample)
     k = range(len(domains))
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     own = docs.select(F.col(f"`{key}`").alias("doc"), F.xxhash64(whole).alias("hash"), F.regexp_count(whole, F.lit(r"\S+")).cast("bigint").alias("n"))
@@ -70,14 +80,48 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], key: st
     hits = _features(docs, key, text).join(F.broadcast(table), "f").groupBy("doc", "hash", "f").agg(*[F.first(f"w{i}").alias(f"w{i}") for i in k])
     sums = hits.groupBy("doc", "hash").agg(*[F.sum(f"w{i}").alias(f"s{i}") for i in k])
     joined = own.alias("o").join(sums.alias("s"), F.expr("o.doc <=> s.doc and o.hash = s.hash"), "left")
-    total = sum(sizes.values())
-    # domains without a labelled document get nothing; without any label all are as likely
-    prior = [(sizes.get(d, 0) / total if total else 1 / len(domains)) for d in domains]
-    score = [F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + F.log(F.lit(prior[i])) if prior[i] else None for i in k]
-    best = F.greatest(*[s for s in score if s is not None], F.lit(float("-inf")))
-    scored = joined.select("o.doc", "o.hash", "n", "rows", *[(s if s is not None else F.lit(float("-inf"))).alias(f"s{i}") for i, s in enumerate(score)], best.alias("best"))
-    parts = [F.exp(F.col(f"s{i}") - F.col("best")) for i in k]
-    return scored.select("doc", "hash", "n", "rows", *[(p / _sum(parts)).alias(f"p{i}") for i, p in enumerate(parts)])
+    scored = joined.select("o.doc", "o.hash", "n", "rows", *[F.coalesce(f"s{i}", F.lit(0.0)).alias(f"s{i}") for i in k])
+    scored = materialize(scored, "scores")
+    # one document for each id of the bounded sample
+    known = scored.join(F.broadcast(rest), "doc").groupBy("doc", "domain").agg(*[F.min(f"s{i}").alias(f"s{i}") for i in k]).collect()
+    scale, offsets = calibrate([([r[f"s{i}"] for i in k], domains.index(r["domain"])) for r in known], len(domains))
+    z = [F.lit(scale) * F.col(f"s{i}") + F.lit(offsets[i]) for i in k]
+    topped = scored.select("doc", "hash", "n", "rows", *[c.alias(f"z{i}") for i, c in enumerate(z)]).withColumn("top", F.greatest(*[f"z{i}" for i in k]) if len(domains) > 1 else F.col("z0"))
+    parts = [F.exp(F.col(f"z{i}") - F.col("top")) for i in k]
+    return topped.select("doc", "hash", "n", "rows", *[(p / _sum(parts)).alias(f"p{i}") for i, p in enumerate(parts)])
+
+
+def calibrate(known: list[tuple[list[float], int]], n: int, steps: int = 150) -> tuple[float, list[float]]:
+    """The scale of all scores and the offset of each of ``n`` domains under which the known domains are likeliest.
+
+    Starts from the domains' frequencies, with one more document for each; without known documents that is all there is.
+    """
+    seen = [1.0] * n
+    for _, y in known:
+        seen[y] += 1
+    scale, offsets = 0.5, [math.log(x / sum(seen)) for x in seen]
+    first, second = [0.0] * (n + 1), [0.0] * (n + 1)
+    for step in range(1, steps + 1 if known else 1):
+        grad = [0.0] * (n + 1)
+        for scores, y in known:
+            z = [scale * s + b for s, b in zip(scores, offsets, strict=True)]
+            top = max(z)
+            e = [math.exp(x - top) for x in z]
+            total = sum(e)
+            for i in range(n):
+                d = (i == y) - e[i] / total
+                grad[0] += d * scores[i]
+                grad[i + 1] += d
+        for i, g in enumerate(grad):
+            g /= len(known)
+            first[i] = 0.9 * first[i] + 0.1 * g
+            second[i] = 0.99 * second[i] + 0.01 * g * g
+            move = 0.05 * (first[i] / (1 - 0.9**step)) / (math.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
+            if i:
+                offsets[i - 1] += move
+            else:
+                scale = max(0.01, scale + move)
+    return scale, offsets
 
 
 def _largest_eigenvalue(a: list[list[float]]) -> float:
