@@ -320,7 +320,7 @@ def _numbered(df: DataFrame, name: str, dtype: T.DataType, start: int) -> DataFr
     return df.where(F.col(f"`{name}`").isNotNull()).unionByName(numbered)
 
 
-def define(name: str, **properties: Property) -> Schema:
+def define(name: str, /, **properties: Property) -> Schema:
     return Schema(name, tuple(replace(p, name=n) for n, p in properties.items()))
 
 

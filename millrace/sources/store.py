@@ -102,7 +102,7 @@ class DataStore:
         folder = self._manifest()["folders"].get(name)
         struct = c.schema.storage_struct()
         if c.versioned:
-            struct = struct.add(VERSION, "bigint")
+            struct = struct.add(VERSION, "long")
         return self.spark.read.schema(struct).parquet(f"{self.root}/{folder}") if folder else self.spark.createDataFrame([], struct)
 
     def entities(self, name: str, versions: bool = False) -> DataFrame:
