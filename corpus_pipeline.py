@@ -15,7 +15,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field finds bad (a score under 0.3) go."""
     labels = table(spark, sf_dir, "labels").where(~quality_crf.held_out("doc_id"))
     model = quality_crf.train(docs, labels)
-    scored = quality_crf.score_quality(docs.withColumn("__own", F.col("text")), model, text="__own", score="__score")
+    scored = quality_crf.score_quality(docs, model, score="__score", keep_text=True)
     return scored.where("__score >= 0.3").select(*docs.columns)
 
 

@@ -255,23 +255,25 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(every[:, :-1], every[:, -1], np.array([len(p) for p in parts]), np.array([r.y for r in got]))
 
 
-def score_quality(docs: DataFrame, model: dict, text: str = "text", score: str = "score") -> DataFrame:
-    """All columns of ``docs`` but ``text``, plus ``score``: the model's P(label 1) of the whole text.
+def score_quality(docs: DataFrame, model: dict, text: str = "text", score: str = "score", keep_text: bool = False) -> DataFrame:
+    """All columns of ``docs``, ``text`` as a string only if it is to be kept, plus ``score``: the model's P(label 1) of the whole text.
 
     Null texts count as empty and score 0. Rows are independent, so repeated rows, null ids and an empty table need no care;
     a column of ``docs`` that is already called like ``score`` is replaced.
     """
     kept = [c for c in docs.columns if c not in (text, score)]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
-    schema = source.drop("__text").withColumn(score, F.lit(0.0)).schema
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
+    out = source.withColumnRenamed("__text", text) if keep_text else source.drop("__text")
+    schema = out.withColumn(score, F.lit(0.0)).schema
     packed = json.dumps(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = json.loads(packed)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             scores = np.concatenate([score_texts(part, own) for part in _slices(texts)]) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], score])
+            columns = batch.columns if keep_text else batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*kept, *([text] if keep_text else []), score])
 
     return source.mapInArrow(run, schema)
 
