@@ -399,7 +399,7 @@ def nearest_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.operators.query import cosine_distance
 
     found = q(spark, sf_dir, "embeddings").nearest("embedding", PROBE, 10)
-    return found.map("vec_id", distance=F.round(cosine_distance(F.col("embedding"), PROBE), 6)).to_df()
+    return found.map("vec_id", distance=F.round(cosine_distance("embedding", PROBE), 6)).to_df()
 
 
 @case(f"select vec_id from (select * from {_VECTORS} where label < 3 order by {_DISTANCE}, vec_id limit 15) order by vec_id limit 5")

@@ -93,7 +93,7 @@ class Query:
         step = {"kind": "nearest", "property": prop, "vector": list(map(float, vector)), "k": k}
         if k <= 0:
             return self._next(step, df=self.df.limit(0), order=())
-        distance = cosine_distance(self.column(prop), vector)
+        distance = cosine_distance(prop, vector)
         ties = [F.col(f"`{x}`") for x in self.keys]
         return self._next(step, df=self.df.orderBy(distance, *self.order, *ties).limit(k), order=(distance.asc(), *self.order))
 
@@ -200,21 +200,21 @@ class Query:
         return df, explain(df, self.steps)
 
 
-def cosine_distance(column: Column, vector: Sequence[float]) -> Column:
-    """1 - cosine; infinite where the vector is null, holds a null, has another width or no length."""
+def cosine_distance(prop: str, vector: Sequence[float]) -> Column:
+    """1 - cosine; infinite where the vector is null, holds a null, has another width or no length.
+
+    The sums are written out and parsed as one expression: they stay in generated code, where higher-order functions would not.
+    """
     given = [float(x) for x in vector]
     norm = sum(x * x for x in given) ** 0.5
-    # unrolled: a sum of products stays in generated code, where a higher-order function would not
-    parts = [F.get(column, F.lit(i)).cast("double") for i in range(len(given))]
-    dot: Column = F.lit(0.0)
-    square: Column = F.lit(0.0)
-    for c, x in zip(parts, given, strict=True):
-        dot = dot + c * F.lit(x)
-        square = square + c * c
     if not norm:
         return F.lit(float("inf"))
-    distance = F.lit(1.0) - dot / (F.sqrt(square) * F.lit(norm))
-    return F.coalesce(F.when((F.size(column) == len(given)) & (square > 0), distance), F.lit(float("inf")))
+    name = ".".join(f"`{x}`" for x in prop.split("."))
+    part = [f"double(get({name}, {i}))" for i in range(len(given))]
+    dot = " + ".join(f"{p} * {x!r}D" for p, x in zip(part, given, strict=True))
+    square = " + ".join(f"{p} * {p}" for p in part)
+    fits = f"size({name}) = {len(given)} and ({square}) > 0"
+    return F.expr(f"coalesce(case when {fits} then 1 - ({dot}) / (sqrt({square}) * {norm!r}D) end, double('infinity'))")
 
 
 @dataclass(frozen=True)
