@@ -164,18 +164,20 @@ def _spaces(c: Column) -> Column:
 
 
 def _places(line: Column, pattern: Column, label: Column, priority: Column) -> Column:
-    """All places of a pattern in a line of words: first word, word after the last, priority, label. Places may overlap."""
-    # a piece after the first begins with a match, up to the next match; the first has the line feed
-    pieces = F.split(line, F.concat(F.lit("(?= (?:"), pattern, F.lit(") )")))
+    """The places of a pattern in a line of words, from left to right: first word, word after the last, priority, label."""
+    whole = F.concat(F.lit(" (?:"), pattern, F.lit(")(?= )"))
+    # every word has its space before it, so the spaces of what lies between matches count its words
+    pairs = F.zip_with(F.split(line, whole), F.call_function("regexp_extract_all", line, whole, F.lit(0)), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
     kind = f"struct<at:int,found:{_PLACES}>"
 
-    def add(state: Column, piece: Column) -> Column:
-        got = F.call_function("regexp_extract", F.concat(piece, F.lit(" ")), F.concat(F.lit(r"\A (?:"), pattern, F.lit(")(?= )")), F.lit(0))
-        one = F.struct(state["at"].alias("first"), (state["at"] + F.greatest(_spaces(got), F.lit(1))).alias("after"), priority.alias("priority"), label.alias("label"))
-        found = F.when(F.startswith(piece, F.lit("\n")), state["found"]).otherwise(F.concat(state["found"], F.array(one)))
-        return F.struct((state["at"] + _spaces(piece)).alias("at"), found.alias("found")).cast(kind)
+    def add(state: Column, x: Column) -> Column:
+        first = state["at"] + _spaces(x["gap"])
+        after = first + _spaces(x["hit"])
+        one = F.struct(first.alias("first"), after.alias("after"), priority.alias("priority"), label.alias("label"))
+        # behind the last match there is a gap without one
+        return F.when(x["hit"].isNull(), state).otherwise(F.struct(after.alias("at"), F.concat(state["found"], F.array(one)).alias("found")).cast(kind))
 
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(_PLACES).alias("found")).cast(kind), add)["found"]
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_PLACES).alias("found")).cast(kind), add)["found"]
 
 
 def _rule_array(rules: Sequence[Rule]) -> Column:
