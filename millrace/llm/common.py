@@ -26,12 +26,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread of these files and no recomputation, and a result that is used
-    several times is computed once, the same for each use. The files live as long as the folder does.
+    several times is computed once, the same for each use. The files live until they are released, or as long as the folder does.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing will read any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(column: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,9 +17,10 @@ def components(edges: DataFrame) -> DataFrame:
     be repeated and loop; nulls are left out; no edges give no nodes.
     """
     now = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = materialize(now, "edges")
+    now = given = materialize(now, "edges")
     nodes = materialize(now.select(F.col("u").alias("node")).union(now.select(F.col("v").alias("node"))).distinct(), "nodes")
     now = now.where("u <> v")
+    tables = [given, nodes]
     print_of = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     before = print_of(now)
     while before[0]:
@@ -30,9 +31,12 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(smallest, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v")))
         now = materialize(small.where("u <> v").distinct(), "stars")
+        tables.append(now)
         after = print_of(now)
         if after == before:
             break
         before = after
     found = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    result = materialize(nodes.join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "components")
+    release(*tables)
+    return result

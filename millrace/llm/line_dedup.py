@@ -1,16 +1,17 @@
 """Fuzzy deduplication of lines by MinHash, with DataFrame functions only.
 
-A line is compared in lower case without outer white space; its set holds the character shingles of ``SHINGLE`` code points
-that start at the beginnings of its words (a shorter rest is a shingle too). Lines are alike at a Jaccard similarity of 0.8 of
-these sets. Equal lines share a key and are one node.
-
-1. Signatures: the shingles are exploded and aggregated to minima under ``BANDS * ROWS`` hash functions, per line key. Equal
-   lines combine before the shuffle, and no text is shuffled.
-2. Banding: lines meet in a bucket for each band of ``ROWS`` minima. Two lines at similarity 0.8 share one of the eight bands
-   with probability 0.997.
-3. Verification: exact Jaccard of the sets, first of each line in a bucket with the bucket's least key, which is linear
-   however large the bucket. Pairs that union-find already joins need no check; the other pairs of a bucket, those across its
-   components, are then all checked.
+A line is compared as it stands, without outer blanks; its set holds the character shingles of ``SHINGLE`` code points that
+start at the beginnings of its words of ``ANCHOR`` or more characters (a shorter rest is a shingle too; a line without such a
+word is one shingle). Lines are alike at a Jaccard similarity of 0.8 of these sets. Equal lines share a key and are one node.
+
+1. Lines are written once, with their keys. The shingles are exploded and aggregated to minima under ``BANDS * ROWS`` hash
+   functions, per line key: equal lines combine before the shuffle, and no text is shuffled.
+2. Banding: lines meet in a bucket for each band of ``ROWS`` minima. Two lines at similarity 0.8 share one of the six bands of
+   two with probability 0.998.
+3. Verification: exact Jaccard of the sets, first of each line in a bucket with the bucket's most frequent line, which is
+   linear however large the bucket and links the copies of a line to the line itself. Pairs that union-find already joins
+   need no check; the other pairs of a bucket, those across its components, are then all compared, within the join: only
+   links come out of it.
 4. Union-find gives the components. Of each component the first line in order of document id, text hash and line number stays.
 
 Blank lines are never dropped. A line key has 64 bits; among n different lines about n^2 / 2^65 pairs collide.
@@ -21,76 +22,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import materialize, release
 from millrace.llm.graph import components
 
-SHINGLE, BANDS, ROWS = 12, 8, 3
+SHINGLE, ANCHOR, BANDS, ROWS = 12, 4, 6, 2
 
 
 def folded(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[\t\r\f\x0B\u00A0 ]+", " ")))
+    return F.trim(line, F.lit(" \t\r\u00a0"))
 
 
-def shingles(line: Column, width: int = SHINGLE) -> Column:
-    """The shingles at the line's word starts, in order, repeated ones too."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?<!\S)(?=(\S.{{0,{width - 1}}}))"), F.lit(1))
+def shingles(line: Column) -> Column:
+    """The shingles at the starts of the longer words, in order, repeated ones too; the line itself if it has none."""
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?<!\S)(?=(\S{{{ANCHOR}}}.{{0,{SHINGLE - ANCHOR}}}))"), F.lit(1))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(line))
 
 
 def document_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc``, ``hash`` (of the text), ``pos`` and ``line`` (folded) of every line that isn't blank."""
+    """``doc``, ``hash`` (of the text), ``pos``, ``line`` and its key ``lk`` of every line that isn't blank."""
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").alias("doc"), F.xxhash64(whole).alias("hash"), F.posexplode(F.split(whole, "\n")).alias("pos", "raw"))
-    return rows.select("doc", "hash", "pos", folded(F.col("raw")).alias("line")).where("line <> ''")
+    return rows.select("doc", "hash", "pos", folded(F.col("raw")).alias("line")).where("line <> ''").withColumn("lk", F.xxhash64("line"))
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """A row per line key with the minima of its shingles' hashes."""
-    each = lines.select(F.xxhash64("line").alias("lk"), F.explode(shingles(F.col("line"))).alias("s")).select("lk", F.xxhash64("s").alias("h"))
+    """A row per line key: the minima of its shingles' hashes, and its shingles over all occurrences as a weight."""
+    each = lines.select("lk", F.explode(shingles(F.col("line"))).alias("s")).select("lk", F.xxhash64("s").alias("h"))
     low, high = F.lit(0xFFFFFFFF), F.shiftrightunsigned("h", 32).bitwiseOR(F.lit(1))
     each = each.select("lk", F.col("h").bitwiseAND(low).alias("h1"), high.alias("h2"))
     # double hashing modulo 2^32 stands for independent functions
     minima = [F.min((F.col("h1") + F.col("h2") * F.lit(i)).bitwiseAND(low)).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    return each.groupBy("lk").agg(*minima)
+    return each.groupBy("lk").agg(F.count("*").alias("weight"), *minima)
 
 
-def _buckets(signatures: DataFrame) -> DataFrame:
-    """``bucket``, ``lk`` for every band of every line."""
+def _members(signatures: DataFrame) -> DataFrame:
+    """``bucket``, ``lk`` and ``weight`` of the lines that share a band with another line."""
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return signatures.select("lk", F.explode(F.array(*bands)).alias("bucket"))
-
-
-def _similar(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``a``, ``b`` of line keys whose sets have at least the threshold's Jaccard similarity."""
-    sets = lines.select("lk", F.array_distinct(shingles(F.col("line"))).alias("s"))
-    left = pairs.join(sets.select(F.col("lk").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("lk").alias("b"), F.col("s").alias("sb")), "b")
-    fits = F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(fits).where(shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-
-
-def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """``lk`` and ``comp`` of the lines that are alike to another, different line."""
-    lines = document_lines(docs, key, text)
-    buckets = _buckets(_signatures(lines))
-    several = buckets.groupBy("bucket").agg(F.min("lk").alias("least"), F.max("lk").alias("most")).where("least < most")
-    members = materialize(buckets.join(several.select("bucket", "least"), "bucket"), "line-buckets")
-    star = materialize(members.where("lk > least").select(F.col("least").alias("a"), F.col("lk").alias("b")).distinct(), "line-pairs")
-    asked = members.select("lk").distinct()
-    chosen = lines.select(F.xxhash64("line").alias("lk"), "line").join(asked, "lk", "left_semi").groupBy("lk").agg(F.first("line").alias("line"))
-    known = materialize(chosen, "lines")
-    edges = materialize(_similar(star, known, threshold), "line-links")
-    comps = materialize(components(edges), "line-components")
-    # pairs across components: only buckets with several components have any
-    labelled = members.join(comps.withColumnRenamed("node", "lk"), "lk", "left").select("bucket", "lk", "least", F.coalesce("comp", "lk").alias("comp"))
-    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
-    rest = materialize(labelled.where("lk > least").join(mixed, "bucket", "left_semi").select("bucket", "lk", "comp"), "line-rest")
-    other = rest.select("bucket", F.col("lk").alias("b"), F.col("comp").alias("cb"))
-    crossing = rest.join(other, "bucket").where("comp <> cb and lk < b").select(F.col("lk").alias("a"), "b").distinct()
-    more = materialize(_similar(crossing, known, threshold), "line-links")
-    if more.isEmpty():
-        return comps.withColumnRenamed("node", "lk")
-    return components(edges.union(more)).withColumnRenamed("node", "lk")
+    buckets = signatures.select("lk", "weight", F.explode(F.array(*bands)).alias("bucket"))
+    several = buckets.groupBy("bucket").agg(F.min("lk").alias("least"), F.max("lk").alias("most")).where("least < most").select("bucket")
+    return buckets.join(several, "bucket", "left_semi")
+
+
+def _alike(a: Column, b: Column, threshold: float) -> Column:
+    fits = F.least(F.size(a), F.size(b)) >= threshold * F.greatest(F.size(a), F.size(b))
+    shared = F.size(F.array_intersect(a, b))
+    return fits & (shared * (1 + threshold) >= threshold * (F.size(a) + F.size(b)) - 1e-9)
+
+
+def line_classes(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``node`` (a line key) and ``comp`` of the lines that are alike to another, different line; ``lines`` as of ``document_lines``."""
+    members = materialize(_members(_signatures(lines)), "line-buckets")
+    sets = lines.select("lk", "line").join(members.select("lk").distinct(), "lk", "left_semi").groupBy("lk").agg(F.first("line").alias("line"))
+    sets = materialize(sets.select("lk", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("set")), "line-sets")
+    pivots = members.groupBy("bucket").agg(F.max(F.struct("weight", "lk")).alias("top")).select("bucket", F.col("top.lk").alias("pivot"))
+    placed = materialize(members.join(pivots, "bucket").select("bucket", "lk", "pivot"), "line-pivots")
+    star = placed.where("lk <> pivot").select(F.col("pivot").alias("a"), F.col("lk").alias("b")).distinct()
+    near = star.join(sets.select(F.col("lk").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("lk").alias("b"), F.col("set").alias("sb")), "b")
+    edges = materialize(near.where(_alike(F.col("sa"), F.col("sb"), threshold)).select("a", "b"), "line-links")
+    comps = components(edges)
+    # pairs across components: only buckets with several components have any, and those with the pivot are done
+    labelled = placed.join(comps.withColumnRenamed("node", "lk"), "lk", "left").withColumn("comp", F.coalesce("comp", "lk"))
+    mixed = labelled.where("lk <> pivot").groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
+    rest = labelled.where("lk <> pivot").join(mixed, "bucket", "left_semi").join(sets, "lk").select("bucket", "lk", "comp", "set")
+    rest = materialize(rest, "line-rest")
+    left = rest.select("bucket", F.col("lk").alias("a"), F.col("comp").alias("ca"), F.col("set").alias("sa"))
+    right = rest.select("bucket", F.col("lk").alias("b"), F.col("comp").alias("cb"), F.col("set").alias("sb"))
+    across = (left["bucket"] == right["bucket"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
+    more = materialize(left.join(right, across & _alike(F.col("sa"), F.col("sb"), threshold)).select("a", "b").distinct(), "line-links")
+    whole = comps if more.isEmpty() else components(edges.union(more))
+    release(members, sets, placed, edges, rest, more, *([comps] if whole is not comps else []))
+    return whole
 
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -98,11 +99,14 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
 
     Documents of which no line stays have no row.
     """
-    comps = line_classes(docs, key, text, threshold)
-    lines = document_lines(docs, key, text).select(F.xxhash64("line").alias("lk"), F.struct("doc", "hash", "pos").alias("at"))
-    firsts = lines.groupBy("lk").agg(F.min("at").alias("at"))
-    classed = firsts.join(comps, "lk", "left").groupBy(F.coalesce("comp", "lk").alias("c")).agg(F.min("at").alias("at"))
-    return classed.groupBy(F.col("at.doc").alias("doc"), F.col("at.hash").alias("hash")).agg(F.array_sort(F.collect_list("at.pos")).alias("kept"))
+    lines = materialize(document_lines(docs, key, text), "lines")
+    comps = line_classes(lines, threshold)
+    firsts = lines.groupBy("lk").agg(F.min(F.struct("doc", "hash", "pos")).alias("at"))
+    classed = firsts.join(comps.withColumnRenamed("node", "lk"), "lk", "left").groupBy(F.coalesce("comp", "lk").alias("c")).agg(F.min("at").alias("at"))
+    kept = classed.groupBy(F.col("at.doc").alias("doc"), F.col("at.hash").alias("hash")).agg(F.array_sort(F.collect_list("at.pos")).alias("kept"))
+    kept = materialize(kept, "kept-lines")
+    release(lines, comps)
+    return kept
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, with_text: bool = True) -> DataFrame:
@@ -120,7 +124,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     kind = "array<struct<pos:int,blank:boolean>>"
     numbered = F.transform(F.split("__text", "\n"), lambda x, i: F.struct(i.alias("pos"), (folded(x) == "").alias("blank"))).cast(kind)
     blanks = F.transform(F.filter(numbered, lambda x: x["blank"]), lambda x: x["pos"])
-    rows = rows.withColumn("n_lines", F.size(F.split("__text", "\n"))).withColumn("__blank", blanks)
+    any_blank = F.col("__text").rlike(r"(?:\A|\n)[ \t\r\u00a0]*(?:\n|\z)")
+    feeds = F.length("__text") - F.length(F.replace(F.col("__text"), F.lit("\n"), F.lit("")))
+    rows = rows.withColumn("n_lines", feeds + 1).withColumn("__blank", F.when(any_blank, blanks).otherwise(F.array().cast("array<int>")))
     if not with_text:
         rows = rows.drop("__text")
     joined = rows.join(kept, rows[key].eqNullSafe(kept["doc"]) & (rows["__hash"] == kept["hash"]), "left")
