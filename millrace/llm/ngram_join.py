@@ -10,8 +10,9 @@ share a bucket. Buckets with more than ``SMALL`` sets are split again by further
 ``RUNS`` independent runs give a pair at the threshold a recall of over 0.999 on first-level paths, 0.996 on third-level ones.
 
 Within a bucket the comparisons go in two steps, so that their number stays near the number of members: each set with the
-bucket's least one; then, after union-find, only the pairs across components. Candidates pass an estimate from the tokens
-(0.8 less four deviations) before the texts themselves are fetched and compared exactly.
+bucket's set of most copies, exactly; then, after union-find, only the pairs across components, in buckets that are small or
+have been split until they are. Candidates pass an estimate from the tokens (0.8 less four deviations) before the texts
+themselves are compared. Texts are fetched once for the first step, and for what the second one adds.
 
 The number of links of a node counts all others in its component that are similar enough, exactly, by comparing the
 component's sets in blocks of bounded size; a block reports one number per set.
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import materialize, release
 from millrace.llm.graph import components
 
-WORDS, TOKENS, RUNS, SMALL, BLOCK, LEVELS = 5, 64, 12, 64, 128, 12
+WORDS, TOKENS, RUNS, SMALL, BLOCK, LEVELS = 5, 64, 12, 8192, 128, 8
 #: Tokens picked on average, of those that two sets at the threshold share: one.
 PICK = 1 / (0.8 * TOKENS)
 #: Bytes of text that are worked on at once; a longer document is worked on alone.
@@ -149,13 +150,17 @@ def _next_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(path.astype(np.int64)), pa.array(ids[row])], names=["bucket", "id"])
 
 
+def _least_agreement(threshold: float) -> float:
+    return threshold * TOKENS - 4 * (threshold * (1 - threshold) * TOKENS) ** 0.5
+
+
 def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sizes allow the threshold and whose tokens agree as often as it makes likely, less four deviations."""
     own = nodes.select("id", "size", "tokens")
     left = pairs.join(own.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("tokens").alias("ta")), "a")
     both = left.join(own.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("tokens").alias("tb")), "b")
     both = both.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    least = threshold * TOKENS - 4 * (threshold * (1 - threshold) * TOKENS) ** 0.5
+    least = _least_agreement(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,6 +170,46 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _across(members: DataFrame, threshold: float) -> DataFrame:
+    """The likely pairs across components within small buckets. ``members``: bucket, id, comp, size, tokens.
+
+    Rows are sorted by bucket and compared with those 1, 2, ... places on, all buckets of a batch at once; a bucket that a
+    batch cuts waits for the next one.
+    """
+    least = _least_agreement(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def compare(rows: pa.Table) -> pa.RecordBatch:
+            bucket, ids, comp, size = (rows.column(i).to_numpy() for i in range(4))
+            tokens = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint32).reshape(-1, TOKENS)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for d in range(1, rows.num_rows):
+                i = np.flatnonzero(bucket[:-d] == bucket[d:])
+                if not len(i):
+                    break
+                i = i[(comp[i] != comp[i + d]) & (np.minimum(size[i], size[i + d]) >= threshold * np.maximum(size[i], size[i + d]))]
+                for part in np.array_split(i, len(i) // 4096 + 1):
+                    good = part[(tokens[part] == tokens[part + d]).sum(axis=1) >= least]
+                    found.append((np.minimum(ids[good], ids[good + d]), np.maximum(ids[good], ids[good + d])))
+            pairs = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], names=["a", "b"])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+            bucket = rows.column(0).to_numpy()
+            cut = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0
+            held = rows.slice(cut)
+            if cut:
+                yield compare(rows.slice(0, cut))
+        if held is not None and held.num_rows:
+            yield compare(held)
+
+    return members.select("bucket", "id", "comp", "size", "tokens").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint")
+
+
 def _exact(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("xa")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("xb")), "b").select("a", "b", "xa", "xb")
@@ -182,6 +227,24 @@ def _exact(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def _matrix(left: pa.Table, right: pa.Table, threshold: float) -> np.ndarray:
+    """Which sets of two blocks are similar, by products of their incidence matrices, a slice of the words at a time."""
+    a, b = sets_of(left["text"].to_pylist()), sets_of(right["text"].to_pylist())
+    size_a, size_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    words, place = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    row_a, row_b = np.repeat(np.arange(len(a)), size_a), np.repeat(np.arange(len(b)), size_b)
+    at_a, at_b = place[: size_a.sum()], place[size_a.sum() :]
+    shared = np.zeros((len(a), len(b)), np.float32)
+    width = min(8192, len(words))
+    for start in range(0, len(words), width):
+        x, y = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        in_a, in_b = (at_a >= start) & (at_a < start + width), (at_b >= start) & (at_b < start + width)
+        x[row_a[in_a], at_a[in_a] - start] = 1
+        y[row_b[in_b], at_b[in_b] - start] = 1
+        shared += x @ y.T
+    return shared >= threshold * (size_a[:, None] + size_b[None, :] - shared) - 1e-6
+
+
 def _block_links(threshold: float):
     """For a cogroup of two blocks of a component: each left set's similar sets on the right, weighted by their copies."""
 
@@ -189,56 +252,122 @@ def _block_links(threshold: float):
         ids, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if left.num_rows and right.num_rows:
             ids = left["id"].to_numpy()
-            a, b = sets_of(left["text"].to_pylist()), sets_of(right["text"].to_pylist())
-            size_a, size_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-            words, place = np.unique(np.concatenate([*a, *b]), return_inverse=True)
-            row_a, row_b = np.repeat(np.arange(len(a)), size_a), np.repeat(np.arange(len(b)), size_b)
-            at_a, at_b = place[: size_a.sum()], place[size_a.sum() :]
-            shared = np.zeros((len(a), len(b)), np.float32)
-            for start in range(0, len(words), 8192):
-                x, y = np.zeros((len(a), 8192), np.float32), np.zeros((len(b), 8192), np.float32)
-                in_a, in_b = (at_a >= start) & (at_a < start + 8192), (at_b >= start) & (at_b < start + 8192)
-                x[row_a[in_a], at_a[in_a] - start] = 1
-                y[row_b[in_b], at_b[in_b] - start] = 1
-                shared += x @ y.T
-            linked = shared >= threshold * (size_a[:, None] + size_b[None, :] - shared) - 1e-6
-            linked &= ids[:, None] != right["id"].to_numpy()[None, :]
+            linked = _matrix(left, right, threshold) & (ids[:, None] != right["id"].to_numpy()[None, :])
             n = linked @ right["copies"].to_numpy()
         return pa.table([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["id", "links"])
 
     return count
 
 
+def _block_edges(threshold: float):
+    """For a cogroup of two blocks: links enough to join all that are linked, one less than their number at most."""
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+            above: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while above.get(x, x) != x:
+                    above[x] = above.get(above[x], above[x])
+                    x = above[x]
+                return x
+
+            row, column = np.nonzero(_matrix(left, right, threshold) & (ids[:, None] != others[None, :]))
+            for a, b in zip(ids[row].tolist(), others[column].tolist(), strict=True):
+                x, y = root(a), root(b)
+                if x != y:
+                    above[x] = y
+                    found.append((a, b))
+        return pa.table([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return join
+
+
+def _blocks(members: DataFrame, run, out: str, half: bool = False) -> DataFrame:
+    """All pairs of blocks of each component, as cogroups. ``members``: comp, n (the component's size), id, text, copies.
+
+    A component of n sets has n / ``BLOCK`` blocks, to which the sets are dealt by their ids; with ``half`` a pair of blocks
+    comes once.
+    """
+    dealt = members.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("x", F.pmod("id", "nb").cast("int"))
+    left = dealt.select("id", "text", "comp", "x", F.explode(F.sequence(F.col("x") if half else F.lit(0), F.col("nb") - 1)).alias("y"))
+    renewed = dealt.select(*[F.col(c).alias(c) for c in ("id", "copies", "text", "comp", "nb", "x")])  # columns of its own
+    right = renewed.select("id", "copies", "text", "comp", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("x") if half else F.col("nb") - 1)).alias("x"))
+    return left.groupBy("comp", "x", "y").cogroup(right.groupBy("comp", "x", "y")).applyInArrow(run, out)
+
+
 def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows (doc, hash, text), their sketches with the nodes' ids, and the nodes with copies, least doc and component."""
+    """The rows' sketches with the nodes' ids; the nodes with copies, least doc and component; texts of all linked nodes."""
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").alias("doc"), F.xxhash64(whole).alias("hash"), whole.alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
     sketched = rows.mapInArrow(_sketch, f"doc {kind}, hash bigint, f1 bigint, f2 bigint, size int, tokens binary")
     sketched = materialize(sketched.withColumn("id", F.when(F.col("size") > 0, F.xxhash64("f1", "f2", "size"))), "sketches")
-    nodes = sketched.where("size > 0").groupBy("id").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.count("*").alias("copies"), F.min("doc").alias("doc"), F.min("hash").alias("hash"))
+    nodes = sketched.where("size > 0").groupBy("id").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.count("*").alias("copies"), F.min("doc").alias("doc"))
     nodes = materialize(nodes, "nodes")
     paths = materialize(nodes.select("id", "tokens").mapInArrow(_first_paths, "bucket bigint, id bigint"), "paths")
-    links = comps = None
-    for level in range(LEVELS + 1):
-        several = paths.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("least < most")
-        members = materialize(paths.join(several.drop("most"), "bucket"), "members")
-        star = members.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-        links, comps = _linked(star, sketched, rows, nodes, threshold, links, comps)
-        labelled = members.join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
-        rest = materialize(labelled.join(open_, "bucket", "left_semi"), "open")
-        small = rest.where((F.col("n") <= SMALL) | F.lit(level == LEVELS)).where("id > least").select("bucket", "id", "comp")
-        other = small.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"))
-        crossing = small.join(other, "bucket").where("comp <> cb and id < b").select(F.col("id").alias("a"), "b").distinct()
-        links, comps = _linked(crossing, sketched, rows, nodes, threshold, links, comps)
-        large = rest.where(F.col("n") > SMALL).select("bucket", "id")
-        if level == LEVELS or large.isEmpty():
+    members = _shared(paths)
+    weighed = members.join(nodes.select("id", "copies"), "id")
+    pivots = weighed.groupBy("bucket").agg(F.max(F.struct("copies", "id")).alias("top")).select("bucket", F.col("top.id").alias("pivot"))
+    star = members.join(pivots, "bucket").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    likely = materialize(_estimated(star, nodes, threshold), "likely")
+    texts = _texts(_ends(likely), sketched, rows)
+    links = materialize(_exact(likely, texts, threshold), "links")
+    united = components(links)
+    comps = united.select(F.col("node").alias("id"), "comp")
+    done = [paths, members, likely, links, united]
+    found = []
+    for level in range(LEVELS):
+        labelled = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        unsettled = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
+        rest = labelled.join(unsettled, "bucket", "left_semi").join(nodes.select("id", "size", "tokens"), "id")
+        rest = materialize(rest.select("bucket", "id", "n", "comp", "size", "tokens"), "unsettled")
+        done.append(rest)
+        found.append(materialize(_across(rest.where(F.col("n") <= SMALL), threshold).distinct(), "candidates"))
+        large = rest.where(F.col("n") > SMALL)
+        if large.isEmpty():
             break
-        paths = materialize(large.join(nodes.select("id", "tokens"), "id").select("bucket", "id", "tokens").mapInArrow(_next_paths, "bucket bigint, id bigint").distinct(), "paths")
-    joined = nodes.select("id", "copies", "doc", "hash").join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    joined = materialize(joined, "classes")
-    return rows, sketched, joined
+        if level == LEVELS - 1:  # what no path has split is compared as it is
+            left = large.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"))
+            right = large.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("nb"))
+            pairs = left.join(right, "bucket").where(f"ca <> cb and a < b and least(na, nb) >= {threshold} * greatest(na, nb)")
+            found.append(materialize(_estimated(pairs.select("a", "b").distinct(), nodes, threshold), "candidates"))
+            break
+        paths = materialize(large.select("bucket", "id", "tokens").mapInArrow(_next_paths, "bucket bigint, id bigint").distinct(), "paths")
+        members = _shared(paths)
+        done += [paths, members]
+    more = found[0]
+    for x in found[1:]:
+        more = more.union(x)
+    more = materialize(more.distinct().join(likely, ["a", "b"], "left_anti"), "candidates")
+    done += [*found, more]
+    if not more.isEmpty():
+        added = _ends(more).join(texts.select("id"), "id", "left_anti")
+        texts = texts.union(_texts(added, sketched, rows))
+        # sets that candidate pairs connect are compared in blocks: only links come out, a few for each set
+        near = components(more)
+        sized = near.join(near.groupBy("comp").agg(F.count("*").alias("n")), "comp")
+        members = sized.select(F.col("node").alias("id"), "comp", "n").join(texts, "id").withColumn("copies", F.lit(1))
+        others = materialize(_blocks(members, _block_edges(threshold), "a bigint, b bigint", half=True), "links")
+        united = components(links.union(others))
+        comps = united.select(F.col("node").alias("id"), "comp")
+        done += [others, united, near]
+    joined = nodes.select("id", "copies", "doc").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    classes = materialize(joined, "classes")
+    release(*done, nodes)
+    return sketched, classes, texts
+
+
+def _shared(paths: DataFrame) -> DataFrame:
+    """``bucket``, ``id`` and the bucket's number of sets ``n``, of the buckets with several sets."""
+    several = paths.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("least < most")
+    return materialize(paths.join(several.select("bucket", "n"), "bucket").select("bucket", "id", "n"), "members")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
 
 def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -248,17 +377,11 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ``key``. A row that is repeated is a copy of itself. Null keys are allowed: a class of null keys only has a null id. An
     empty table gives an empty result. Other columns are left out.
     """
-    rows, sketched, joined = _classes(docs, key, text, threshold)
+    sketched, joined, texts = _classes(docs, key, text, threshold)
     named = joined.groupBy("comp").agg(F.min("doc").alias("class_id"), F.count("*").alias("n"))
     result = joined.join(named, "comp")
-    linked = result.where("n > 1").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
-    content = _texts(linked.select("id"), sketched, rows)
-    linked = linked.join(content, "id").select("comp", "id", "copies", "text", "nb", F.pmod("id", "nb").cast("int").alias("x"))
-    every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    left = linked.select("id", "text", "comp", "x", every.alias("y"))
-    renewed = linked.select(*[F.col(c).alias(c) for c in ("id", "copies", "text", "comp", "nb", "x")])  # columns of its own
-    right = renewed.select("id", "copies", "text", "comp", F.col("x").alias("y"), every.alias("x"))
-    blocks = left.groupBy("comp", "x", "y").cogroup(right.groupBy("comp", "x", "y")).applyInArrow(_block_links(threshold), "id bigint, links bigint")
+    linked = result.where("n > 1").join(texts, "id").select("comp", "n", "id", "text", F.col("copies").cast("bigint").alias("copies"))
+    blocks = _blocks(linked, _block_links(threshold), "id bigint, links bigint")
     result = result.join(blocks.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     out = sketched.select("doc", "id").join(result.select("id", "class_id", "n_links"), "id", "left")
     class_id = F.when(F.col("id").isNull(), F.col("doc")).otherwise(F.col("class_id"))
@@ -270,7 +393,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
 
     Rows with equal key and text stay once. Rows without words stay all; for nulls see ``similarity_classes``.
     """
-    _, sketched, joined = _classes(docs, key, text, threshold)
+    sketched, joined, _ = _classes(docs, key, text, threshold)
     least = sketched.where("id is not null").groupBy("id").agg(F.min(F.struct("doc", "hash")).alias("at"))
     first = least.join(joined.select("id", "comp"), "id").groupBy("comp").agg(F.min("at").alias("at")).select(F.col("at.doc").alias("__doc"), F.col("at.hash").alias("__at"))
     empty = sketched.where("id is null").select(F.col("doc").alias("__doc"), F.col("hash").alias("__at")).distinct()
@@ -286,14 +409,3 @@ def _texts(ids: DataFrame, sketched: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = sketched.join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.min("hash").alias("hash"))
     found = rows.select("hash", "text").join(wanted, "hash")
     return materialize(found.groupBy("id").agg(F.first("text").alias("text")), "texts")
-
-
-def _linked(pairs: DataFrame, sketched: DataFrame, rows: DataFrame, nodes: DataFrame, threshold: float, links: DataFrame | None, comps: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The links so far and their components, with those of the pairs that pass the estimate and the exact check."""
-    likely = materialize(_estimated(pairs, nodes, threshold), "likely")
-    if likely.isEmpty() and links is not None:
-        return links, comps
-    content = _texts(likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))), sketched, rows)
-    more = materialize(_exact(likely, content, threshold), "links")
-    links = more if links is None else links.union(more)
-    return links, materialize(components(links), "components")
