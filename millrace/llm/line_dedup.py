@@ -6,8 +6,8 @@ word is one shingle). Lines are alike at a Jaccard similarity of 0.8 of these se
 
 1. Lines are written once, with their keys. The shingles are exploded and aggregated to minima under ``BANDS * ROWS`` hash
    functions, per line key: equal lines combine before the shuffle, and no text is shuffled.
-2. Banding: lines meet in a bucket for each band of ``ROWS`` minima. Two lines at similarity 0.8 share one of the six bands of
-   two with probability 0.998.
+2. Banding: lines meet in a bucket for each band of ``ROWS`` minima. Two lines at similarity 0.8 share one of the seven bands of
+   two with probability 0.999.
 3. Verification: exact Jaccard of the sets, first of each line in a bucket with the bucket's most frequent line, which is
    linear however large the bucket and links the copies of a line to the line itself. Pairs that union-find already joins
    need no check; the other pairs of a bucket, those across its components, are then all compared, within the join: only
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import materialize, release
 from millrace.llm.graph import components
 
-SHINGLE, ANCHOR, BANDS, ROWS = 12, 4, 6, 2
+SHINGLE, ANCHOR, BANDS, ROWS = 12, 6, 7, 2
 
 
 def folded(line: Column) -> Column:
@@ -34,7 +34,8 @@ def folded(line: Column) -> Column:
 
 def shingles(line: Column) -> Column:
     """The shingles at the starts of the longer words, in order, repeated ones too; the line itself if it has none."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?<!\S)(?=(\S{{{ANCHOR}}}.{{0,{SHINGLE - ANCHOR}}}))"), F.lit(1))
+    # a match takes the whole word and what blanks follow, so the next one is tried at a word's start; shorter words have none
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S{{{ANCHOR}}}.{{0,{SHINGLE - ANCHOR}}}))\S+\s*"), F.lit(1))
     return F.when(F.size(found) > 0, found).otherwise(F.array(line))
 
 
@@ -71,7 +72,8 @@ def _alike(a: Column, b: Column, threshold: float) -> Column:
 
 def line_classes(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``node`` (a line key) and ``comp`` of the lines that are alike to another, different line; ``lines`` as of ``document_lines``."""
-    members = materialize(_members(_signatures(lines)), "line-buckets")
+    signatures = materialize(_signatures(lines), "line-signatures")  # used twice
+    members = materialize(_members(signatures), "line-buckets")
     sets = lines.select("lk", "line").join(members.select("lk").distinct(), "lk", "left_semi").groupBy("lk").agg(F.first("line").alias("line"))
     sets = materialize(sets.select("lk", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("set")), "line-sets")
     pivots = members.groupBy("bucket").agg(F.max(F.struct("weight", "lk")).alias("top")).select("bucket", F.col("top.lk").alias("pivot"))
@@ -90,7 +92,7 @@ def line_classes(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     across = (left["bucket"] == right["bucket"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
     more = materialize(left.join(right, across & _alike(F.col("sa"), F.col("sb"), threshold)).select("a", "b").distinct(), "line-links")
     whole = comps if more.isEmpty() else components(edges.union(more))
-    release(members, sets, placed, edges, rest, more, *([comps] if whole is not comps else []))
+    release(signatures, members, sets, placed, edges, rest, more, *([comps] if whole is not comps else []))
     return whole
 
 

@@ -262,7 +262,7 @@ def test_license_suppression(spark):
 def kept_by_hand(texts):
     import re
 
-    shingle = re.compile(r"(?s)(?<!\S)(?=(\S{4}.{0,8}))")
+    shingle = re.compile(r"(?s)(?=(\S{6}.{0,6}))\S+\s*")
     ids, places = {}, []
     for d, t in texts:
         for pos, raw in enumerate((t or "").split("\n")):
