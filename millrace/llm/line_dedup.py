@@ -1,15 +1,17 @@
 """Fuzzy deduplication of lines by MinHash, with DataFrame functions only.
 
-A line is compared as it stands, without outer blanks; its set holds the character shingles of ``SHINGLE`` code points that
-start at the beginnings of its words of ``ANCHOR`` or more characters (a shorter rest is a shingle too; a line without such a
-word is one shingle). Lines are alike at a Jaccard similarity of 0.8 of these sets. Equal lines share a key and are one node.
+A line is compared as it stands, without outer blanks; its set holds the character shingles of ``SHINGLE`` code points at every
+position (a shorter line is one shingle). Lines are alike at a Jaccard similarity of 0.8 of these sets. Equal lines share a key
+and are one node.
 
-1. Lines are written once, with their keys. The shingles are exploded and aggregated to minima under ``BANDS * ROWS`` hash
-   functions, per line key: equal lines combine before the shuffle, and no text is shuffled.
+1. Lines are written once, with their keys. They are cut into overlapping pieces, so that no shingle is sought from the start of a
+   long line. The pieces' shingles are exploded and aggregated to minima under ``BANDS * ROWS`` hash functions, per line key:
+   equal lines combine before the shuffle, and no text is shuffled.
 2. Banding: lines meet in a bucket for each band of ``ROWS`` minima. Two lines at similarity 0.8 share one of the seven bands of
    two with probability 0.999.
 3. Verification: exact Jaccard of the sets, first of each line in a bucket with the bucket's most frequent line, which is
-   linear however large the bucket and links the copies of a line to the line itself. Pairs that union-find already joins
+   linear however large the bucket and links the copies of a line to the line itself. The texts are what is written for this; the
+   sets, several times as large, are made of them pair by pair. Pairs that union-find already joins
    need no check; the other pairs of a bucket, those across its components, are then all compared, within the join: only
    links come out of it.
 4. Union-find gives the components. Of each component the first line in order of document id, text hash and line number stays.
@@ -19,24 +21,39 @@ Blank lines are never dropped. A line key has 64 bits; among n different lines a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize, release
 from millrace.llm.graph import components
 
-SHINGLE, ANCHOR, BANDS, ROWS = 12, 6, 7, 2
+SHINGLE, BANDS, ROWS = 12, 7, 2
+#: Shingles that start in a piece of a line.
+PIECE = 64
 
 
 def folded(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r\u00a0"))
 
 
-def shingles(line: Column) -> Column:
-    """The shingles at the starts of the longer words, in order, repeated ones too; the line itself if it has none."""
-    # a match takes the whole word and what blanks follow, so the next one is tried at a word's start; shorter words have none
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S{{{ANCHOR}}}.{{0,{SHINGLE - ANCHOR}}}))\S+\s*"), F.lit(1))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(line))
+def _pieces(line: Column) -> Column:
+    """Pieces of the line that hold its shingles: each position's shingle is in one of them, and no shorter one in any."""
+    most = PIECE + SHINGLE - 1
+    cut = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE},{most}}})).{{1,{PIECE}}}"), F.lit(1))
+    return F.when(F.length(line) <= most, F.array(line)).otherwise(cut)
+
+
+def _starts(piece: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.length(piece) - (SHINGLE - 1), F.lit(1)))
+
+
+def _hash(piece: Column, start: Column) -> Column:
+    return F.xxhash64(F.substring(piece, start, F.lit(SHINGLE)))
+
+
+def shingle_set(line: Column) -> Column:
+    """The hashes of the line's shingles, each once."""
+    return F.array_distinct(F.flatten(F.transform(_pieces(line), lambda piece: F.transform(_starts(piece), lambda i: _hash(piece, i)))))
 
 
 def document_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,7 +65,8 @@ def document_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _signatures(lines: DataFrame) -> DataFrame:
     """A row per line key: the minima of its shingles' hashes, and its shingles over all occurrences as a weight."""
-    each = lines.select("lk", F.explode(shingles(F.col("line"))).alias("s")).select("lk", F.xxhash64("s").alias("h"))
+    pieces = lines.select("lk", F.explode(_pieces(F.col("line"))).alias("piece"))
+    each = pieces.select("lk", "piece", F.explode(_starts(F.col("piece"))).alias("i")).select("lk", _hash(F.col("piece"), F.col("i")).alias("h"))
     low, high = F.lit(0xFFFFFFFF), F.shiftrightunsigned("h", 32).bitwiseOR(F.lit(1))
     each = each.select("lk", F.col("h").bitwiseAND(low).alias("h1"), high.alias("h2"))
     # double hashing modulo 2^32 stands for independent functions
@@ -57,11 +75,12 @@ def _signatures(lines: DataFrame) -> DataFrame:
 
 
 def _members(signatures: DataFrame) -> DataFrame:
-    """``bucket``, ``lk`` and ``weight`` of the lines that share a band with another line."""
+    """``bucket``, ``lk`` and the bucket's ``pivot``, its most frequent line, for the lines that share a band with another line."""
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     buckets = signatures.select("lk", "weight", F.explode(F.array(*bands)).alias("bucket"))
-    several = buckets.groupBy("bucket").agg(F.min("lk").alias("least"), F.max("lk").alias("most")).where("least < most").select("bucket")
-    return buckets.join(several, "bucket", "left_semi")
+    whole = Window.partitionBy("bucket")
+    placed = buckets.select("bucket", "lk", F.max(F.struct("weight", "lk")).over(whole)["lk"].alias("pivot"), F.count("*").over(whole).alias("n"))
+    return placed.where("n > 1").drop("n")
 
 
 def _alike(a: Column, b: Column, threshold: float) -> Column:
@@ -72,27 +91,26 @@ def _alike(a: Column, b: Column, threshold: float) -> Column:
 
 def line_classes(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``node`` (a line key) and ``comp`` of the lines that are alike to another, different line; ``lines`` as of ``document_lines``."""
-    signatures = materialize(_signatures(lines), "line-signatures")  # used twice
-    members = materialize(_members(signatures), "line-buckets")
-    sets = lines.select("lk", "line").join(members.select("lk").distinct(), "lk", "left_semi").groupBy("lk").agg(F.first("line").alias("line"))
-    sets = materialize(sets.select("lk", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("set")), "line-sets")
-    pivots = members.groupBy("bucket").agg(F.max(F.struct("weight", "lk")).alias("top")).select("bucket", F.col("top.lk").alias("pivot"))
-    placed = materialize(members.join(pivots, "bucket").select("bucket", "lk", "pivot"), "line-pivots")
+    placed = materialize(_members(_signatures(lines)), "line-buckets")
+    texts = lines.select("lk", "line").join(placed.select("lk").distinct(), "lk", "left_semi").groupBy("lk").agg(F.first("line").alias("line"))
+    texts = materialize(texts, "line-texts")
     star = placed.where("lk <> pivot").select(F.col("pivot").alias("a"), F.col("lk").alias("b")).distinct()
-    near = star.join(sets.select(F.col("lk").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("lk").alias("b"), F.col("set").alias("sb")), "b")
-    edges = materialize(near.where(_alike(F.col("sa"), F.col("sb"), threshold)).select("a", "b"), "line-links")
+    near = star.join(texts.select(F.col("lk").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("lk").alias("b"), F.col("line").alias("lb")), "b")
+    # within a lambda, so that each set is made once a pair and not once for each use
+    sets = F.array(F.struct(shingle_set(F.col("la")).alias("a"), shingle_set(F.col("lb")).alias("b")))
+    edges = materialize(near.where(F.exists(sets, lambda s: _alike(s["a"], s["b"], threshold))).select("a", "b"), "line-links")
     comps = components(edges)
     # pairs across components: only buckets with several components have any, and those with the pivot are done
     labelled = placed.join(comps.withColumnRenamed("node", "lk"), "lk", "left").withColumn("comp", F.coalesce("comp", "lk"))
     mixed = labelled.where("lk <> pivot").groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
-    rest = labelled.where("lk <> pivot").join(mixed, "bucket", "left_semi").join(sets, "lk").select("bucket", "lk", "comp", "set")
+    rest = labelled.where("lk <> pivot").join(mixed, "bucket", "left_semi").join(texts, "lk").select("bucket", "lk", "comp", shingle_set(F.col("line")).alias("set"))
     rest = materialize(rest, "line-rest")
     left = rest.select("bucket", F.col("lk").alias("a"), F.col("comp").alias("ca"), F.col("set").alias("sa"))
     right = rest.select("bucket", F.col("lk").alias("b"), F.col("comp").alias("cb"), F.col("set").alias("sb"))
     across = (left["bucket"] == right["bucket"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
     more = materialize(left.join(right, across & _alike(F.col("sa"), F.col("sb"), threshold)).select("a", "b").distinct(), "line-links")
     whole = comps if more.isEmpty() else components(edges.union(more))
-    release(signatures, members, sets, placed, edges, rest, more, *([comps] if whole is not comps else []))
+    release(placed, texts, edges, rest, more, *([comps] if whole is not comps else []))
     return whole
 
 

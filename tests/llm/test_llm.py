@@ -301,6 +301,22 @@ def test_line_dedup_odd_rows(spark, odd, none):
     assert {r.text for r in rows if r.doc_id == 3} == {"  \n\n "}
 
 
+def kept_lines_of(spark, lines):
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return [r.doc_id for r in line_dedup.dedup_lines(df, with_text=False).orderBy("doc_id").collect() if r.n_kept]
+
+
+def test_line_dedup_compares_whole_lines(spark):
+    short = "it is as it was and so it is to be or not to be in the end of it all as we do go on by and by if he or I am up at ten "
+    other = "日本語の行には空白がないので一つの語になる"
+    same, apart = [short + "a", short + "b"], ["Temperature: 21", "Temperature: 35", "Congratulations to the new cat", "Congratulations on a big win"]
+    apart += ["https://example.org/" + x * 20 for x in "ab"] + [other + x * 40 for x in "山川"]
+    assert kept_lines_of(spark, [*same, *apart]) == [0, *range(2, 10)]
+    # a change at any place of a long line without blanks, also beyond the Basic Multilingual Plane
+    long = "".join(chr(0x1F300 + i * 7919 % 700) for i in range(300))
+    assert kept_lines_of(spark, [long, *(long[:k] + "x" + long[k + 1 :] for k in (0, 63, 64, 75, 76, 150, 299)), long[:150]]) == [0, 8]
+
+
 # -- 9 ---------------------------------------------------------------------------------------------------------------
 
 
