@@ -39,7 +39,8 @@ NAMES = [
     ("mit", "mit licen[sc]e", "mit"),
     ("mit", "expat licen[sc]e", "expat"),
     ("mit-0", "mit no attribution(?: licen[sc]e)?", "attribution"),
-    ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?", "bsd"),
+    ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[sc]e)?", "bsd"),
+    ("bsd-2-clause", "freebsd(?: licen[sc]e)?", "freebsd"),
     ("bsd-3-clause", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: licen[sc]e)?", "bsd"),
     ("bsd-4-clause", "(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[sc]e)?", "bsd"),
     ("bsd", "bsd(?: style)? licen[sc]e", "bsd"),
@@ -130,7 +131,7 @@ PHRASES = [
     ("reserved", "todos los derechos reservados", "derechos", 3),
     ("copyright", "copyright(?: c| ©)?(?: by)?(?: [12][0-9]{3})+", "copyright", 3),
     ("no-copy", "(?:do not|may not be) (?:copy|copied|reproduced?|redistributed?)", "not", 4),
-    ("no-commercial", "(?:for )?non ?commercial (?:use|purposes) only", "commercial", 4),
+    ("no-commercial", "(?:for )?non ?commercial (?:use|purposes) only", "non", 4),
     ("permission", "(?:reprinted|reproduced|used) (?:with|by) permission", "permission", 4),
     ("licensed", "licen[sc]ed under", "licen", 5),
 ]
@@ -143,8 +144,8 @@ def signature_rules() -> list[Rule]:
     return sorted(made, key=lambda r: r.priority)
 
 
-#: Every match of a base phrase or a rule holds one of these, in lower case.
-GATE = ["licen", "right", "rechte", "droits", "derechos", "cc", "bsd", "gpl", "creative", "attribution", "cecill", "domain", "permission", "redistribut", "warranty", "copied", "copy", "reproduc", "commercial use", "commercial purposes"]
+#: Every match of a base phrase or a rule holds one of these within a word, in lower case.
+GATE = ["licen", "right", "rechte", "droits", "derechos", "cc", "bsd", "gpl", "creative", "attribution", "cecill", "domain", "permission", "redistribut", "warranty", "copied", "copy", "reproduc", "commercial"]
 
 #: Confidence that a detection of a priority is a license notice.
 CONFIDENCE = {1: 0.98, 2: 0.95, 3: 0.8, 4: 0.5, 5: 0.4}

@@ -256,6 +256,43 @@ def test_license_suppression(spark):
     assert len(license_scan.signature_rules()) > 300
 
 
+def test_license_gates_drop_no_match(spark):
+    import random
+    from re import _parser
+
+    rng = random.Random(3)
+
+    def sample(parsed):
+        out = ""
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                kind, value = arg[0]
+                out += chr(value if str(kind) == "LITERAL" else rng.randint(*value))
+            elif name == "BRANCH":
+                out += sample(rng.choice(arg[1]))
+            elif name == "SUBPATTERN":
+                out += sample(arg[-1])
+            else:
+                assert name == "MAX_REPEAT", name
+                low, high, inner = arg
+                out += "".join(sample(inner) for _ in range(rng.randint(low, min(int(high), low + 2))))
+        return out
+
+    rules = license_scan.signature_rules()
+    texts = ["FreeBSD license", "freebsd", "For non-commercial\nuse only", "noncommercial  purposes only"]
+    texts += [sample(_parser.parse(r.pattern)).replace(" ", rng.choice([" ", "\n", " - "])) for r in rules for _ in range(6 if r.cue == "" else 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    gated = {r.doc_id: r.found for r in license_scan.scan_licenses(df).collect()}
+    # no rule has a keyword, and a last word, apart by one that is in no rule, opens every text's gate
+    open_rules = [r._replace(keyword="", cue="") for r in rules]
+    opened = df.withColumn("text", F.concat("text", F.lit(" zzz copy")))
+    ungated = {r.doc_id: r.found for r in license_scan.scan_licenses(opened, rules=open_rules).collect()}
+    assert all(ungated.values()) and {texts[i] for i in gated if gated[i] != ungated[i]} == set()
+
+
 # -- 8 ---------------------------------------------------------------------------------------------------------------
 
 
