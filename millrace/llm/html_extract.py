@@ -3,8 +3,9 @@
 A page is cut into blocks: runs of text between block-level tags. Each block has a root-to-leaf tag path. Over the blocks of
 one path, the text length and the punctuation are summed and divided by the number of blocks; both ratios are smoothed over
 neighbouring blocks, multiplied, and compared with a threshold that the page itself gives. The blocks that pass select the
-content element: the deepest one that holds most of their text, widened to an enclosing ``article`` or ``main``. Its blocks
-are the text, short ones included, except those under boilerplate elements.
+content element: an ``article`` or ``main`` around the deepest element that holds most of their text, else the deepest element
+around all of them that is more than a leaf block. Its blocks are the text, short ones included, except those under boilerplate
+elements.
 
 The work is a map over pages: no shuffle, and memory for one Arrow batch at a time.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +40,8 @@ BOILERPLATE_WORDS = frozenset(
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
 NEVER_BY_CLASS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset(["article", "main"])
+#: Parts of a text, never the whole of it.
+PARTS = frozenset("p li dt dd td th tr thead tbody tfoot caption table ul ol dl pre blockquote figure figcaption address summary h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
 _MARKUP = re.compile(
@@ -162,8 +165,9 @@ def _smooth(values: list[float]) -> list[float]:
 def main_text(page: str | None, threshold: float = 0.3, cover: float = 0.85) -> str:
     """The article's blocks, joined by newlines; empty for a null or empty page and for one of boilerplate only.
 
-    A block is a content node if its fused score reaches ``threshold`` times the page's mean score. The content element is
-    the deepest that holds ``cover`` of the content nodes' characters.
+    A block is a content node if its fused score reaches ``threshold`` times the page's mean score. An article is the content
+    element if it holds an element with ``cover`` of the content nodes' characters. Else it is the deepest element that holds
+    all content nodes, isn't in ``PARTS`` and holds more than one block.
     """
     if not page:
         return ""
@@ -198,6 +202,10 @@ def main_text(page: str | None, threshold: float = 0.3, cover: float = 0.85) ->
         if names[d] in CONTAINERS:
             root = element
             break
+    else:
+        held = Counter(e for i in own for e in blocks[i][2])
+        around = [e for d, e in enumerate(line[2]) if mass[e] == whole and names[d] not in PARTS and held[e] > 1]
+        root = around[-1] if around else 0
     return "\n".join(blocks[i][1] for i in own if root in blocks[i][2])
 
 

@@ -92,6 +92,7 @@ def _alike(a: Column, b: Column, threshold: float) -> Column:
 def line_classes(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``node`` (a line key) and ``comp`` of the lines that are alike to another, different line; ``lines`` as of ``document_lines``."""
     placed = materialize(_members(_signatures(lines)), "line-buckets")
+    lines.sparkSession._jvm.System.gc()  # Spark deletes the shuffle files of collected plans; what they held is written
     texts = lines.select("lk", "line").join(placed.select("lk").distinct(), "lk", "left_semi").groupBy("lk").agg(F.first("line").alias("line"))
     texts = materialize(texts, "line-texts")
     star = placed.where("lk <> pivot").select(F.col("pivot").alias("a"), F.col("lk").alias("b")).distinct()

@@ -130,6 +130,20 @@ def test_html_of_a_page():
     assert html_extract.main_text(page) == f"Head & line\n{text} bold next line\n{text}\none\ntwo <3"
 
 
+def test_html_without_article():
+    long, short = "A sentence of the text, with words and marks; it goes on. " * 16, "A short one, of a few words, closes the page. " * 2
+    whole = "\n".join(["T", long.strip(), short.strip()])
+    for page in (
+        f"<div><h1>T</h1><p>{long}</p><p>{short}</p></div>",
+        f"<body><nav>Home</nav><div><section><h2>T</h2><p>{long}</p></section><section><p>{short}</p></section></div><footer>me</footer></body>",
+        f"<body><div><h1>T</h1></div><div><ul><li>{long}</li></ul></div><div><span>{short}</span></div></body>",
+        f"<table><tr><td>T</td><td>{long}</td></tr><tr><td>{short}</td></tr></table>",
+    ):
+        assert html_extract.main_text(page) == whole
+    assert html_extract.main_text(f"<div><h1>T</h1><div><p>{long}</p></div></div>") == f"T\n{long.strip()}"
+    assert html_extract.main_text(f"<p>{long}") == long.strip()
+
+
 def test_html_odd_rows(spark, odd, none):
     found = html_extract.extract_main_text(odd.withColumnRenamed("text", "html").withColumn("main_text", F.lit(1))).collect()
     assert len(found) == len(ODD) and {r.main_text for r in found if r.doc_id in (None, 1, 2, 3)} == {""}
