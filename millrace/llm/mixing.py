@@ -5,18 +5,21 @@ symbol density, its features chosen by likelihood ratio, scores every document i
 domain, fitted on labelled documents that the scores were not learned from, turn the scores into posteriors. Then a rate, its
 expected number of copies, is fitted to every document such that the expected token totals of the domains, each document
 counting towards each domain by its posterior, come close to the target weights of a token budget: least squares over rates
-between bounds, by projected gradient steps from rate 1.
+between bounds (0 and 4 by default: no document comes more often than four times), of all solutions the one closest to 1.
 
-The gradient at a document is a combination of its posteriors, by factors that are sums over all documents: a step is one
-aggregation of as many sums as there are domains, and the new rate is an expression of the old one. The rates' metric is
-weighted by tokens, so the step length follows from the largest eigenvalue of a domains-by-domains matrix.
+Closest is a small weight ``NEAR`` on the rates' squared distance from 1. Then the best rate of a document is 1 less a combination
+of its posteriors, cut to the bounds, by one factor for each domain. The factors minimise a convex function of as many variables as
+there are domains, whose value and derivatives are sums over all documents: a damped Newton step is one aggregation. The fit ends
+when the gradient is ``EXACT``, and raises an error if it can't get there.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from millrace.llm.common import materialize
 SAMPLE, FEATURES, LEAST = 6000, 512, 8
 #: Log likelihood ratio that a feature must have, and documents' worth of the pooled rate in each domain's rate.
 SURE, POOLED = 12.0, 30.0
+#: Weight of the rates' distance from 1 against the totals', and the gradient that counts as none, as a part of the smallest target.
+NEAR, EXACT = 1e-7, 1e-6
 
 
 def _sum(columns: list[Column]) -> Column:
@@ -124,15 +129,37 @@ def calibrate(known: list[tuple[list[float], int]], n: int, steps: int = 150) ->
     return scale, offsets
 
 
-def _largest_eigenvalue(a: list[list[float]]) -> float:
-    v, value = [1.0] * len(a), 0.0
-    for _ in range(200):
-        w = [sum(x * y for x, y in zip(row, v, strict=True)) for row in a]
-        value = max(map(abs, w), default=0.0)
-        if not value:
-            break
-        v = [x / value for x in w]
-    return value
+def fit(sums: Callable[[list[float]], tuple[float, list[float], list[list[float]]]], wanted: list[float], steps: int) -> list[float]:
+    """The factors of the best rates; ``wanted`` and the sums are shares of all words.
+
+    For factors, ``sums`` gives the sum of the integrals of the cut rates, the domains' totals at these rates, and the sums of
+    the products of posteriors over the documents whose rates are between the bounds.
+    """
+    k = range(len(wanted))
+
+    def at(factors: list[float]) -> tuple[float, np.ndarray, np.ndarray]:
+        integral, totals, free = sums(factors)
+        value = integral + sum(f * w for f, w in zip(factors, wanted, strict=True)) + NEAR / 2 * sum(f * f for f in factors)
+        return value, np.array([NEAR * factors[i] - totals[i] + wanted[i] for i in k]), np.array(free) + NEAR * np.eye(len(wanted))
+
+    factors = [0.0] * len(wanted)
+    value, gradient, curve = at(factors)
+    goal = EXACT * min([w for w in wanted if w > 0], default=1.0)
+    used = 1
+    while max(map(abs, gradient)) > goal:
+        move, length = -np.linalg.solve(curve, gradient), 1.0
+        while True:
+            if used == steps:
+                raise RuntimeError(f"the rates' fit did not converge in {steps} steps: gradient {gradient.tolist()}, goal {goal}")
+            tried = [float(f + length * m) for f, m in zip(factors, move, strict=True)]
+            new = at(tried)
+            used += 1
+            # near the end the value no longer tells, but the gradient does
+            if new[0] <= value + 1e-4 * length * float(gradient @ move) or max(map(abs, new[1])) <= max(goal, 0.5 * max(map(abs, gradient))):
+                break
+            length /= 2
+        factors, (value, gradient, curve) = tried, new
+    return factors
 
 
 def mix(
@@ -143,7 +170,8 @@ def mix(
 
     ``labelled`` has ``key`` and ``domain``; ``targets`` gives the domains and their weights, which are scaled to a sum of 1.
     The budget is the documents' own number of words, or, with an ``anchor``, what gives that domain ``headroom`` times its
-    own words. ``copies`` is the rate rounded up or down by a hash of the document, so its expectation is the rate.
+    own words. ``bounds`` are those of the rates; ``steps`` is how many aggregations the fit may take before it raises an error.
+    ``copies`` is the rate rounded up or down by a hash of the document, so its expectation is the rate.
 
     Rows with equal ``key`` and text are one document whose words count as often as it has rows; null texts count as empty,
     null keys are allowed. A document without words has no bearing on the totals and follows its posterior (the prior). Labels
@@ -156,28 +184,29 @@ def mix(
     words = F.col("n") * F.col("rows")
     pairs = [(i, j) for i in k for j in k if i <= j]
     p = [F.col(f"p{i}") for i in k]
-    first = table.agg(*[F.sum(words * p[i]).alias(f"t{i}") for i in k], *[F.sum(words * p[i] * p[j]).alias(f"a{i}_{j}") for i, j in pairs], F.sum(words).alias("n")).first()
-    n = float(first["n"] or 0) or 1.0
+    first = table.agg(*[F.sum(words * p[i]).alias(f"t{i}") for i in k], F.sum(words).alias("n")).first()
+    n = float(first["n"] or 0)
     own = [float(first[f"t{i}"] or 0) for i in k]
     budget = n
     if anchor is not None and own[domains.index(anchor)] > 0:
         budget = headroom * own[domains.index(anchor)] / share[domains.index(anchor)]
-    length = 1 / max(_largest_eigenvalue([[float(first[f"a{min(i, j)}_{max(i, j)}"] or 0) / n for j in k] for i in k]), 1e-12)
-    rate: Column = F.lit(1.0)
-    state, low, high = table, F.lit(float(bounds[0])), F.lit(float(bounds[1]))
-    gap = [(own[i] - share[i] * budget) / n for i in k]
-    for step in range(1, steps + 1):
-        if max(map(abs, gap)) < 1e-7 * budget / n:
-            break
-        rate = F.least(high, F.greatest(low, rate - _sum([F.lit(length * gap[i]) * p[i] for i in k])))
-        if step % 15 == 0:  # the expression stays short
-            state = materialize(state.withColumn("rate", rate), "rates")
-            rate = F.col("rate")
-        now = state.agg(*[F.sum(words * p[i] * rate).alias(f"t{i}") for i in k]).first()
-        before, gap = gap, [(float(now[f"t{i}"] or 0) - share[i] * budget) / n for i in k]
-        if max(abs(a - b) for a, b in zip(before, gap, strict=True)) < 1e-9:
-            break  # at the bounds: nothing moves
-    out = state.withColumn("rate", rate)
+    low, high = float(bounds[0]), float(bounds[1])
+
+    def free_rate(factors: list[float]) -> Column:
+        return F.lit(1.0) - _sum([F.lit(f) * c for f, c in zip(factors, p, strict=True)])
+
+    def cut(free: Column) -> Column:
+        return F.least(F.lit(high), F.greatest(F.lit(low), free))
+
+    def sums(factors: list[float]) -> tuple[float, list[float], list[list[float]]]:
+        rows = table.select(words.alias("w"), *p, free_rate(factors).alias("free")).withColumn("cut", cut(F.col("free")))
+        inside = F.when((F.col("free") > low) & (F.col("free") < high), F.col("w")).otherwise(0)
+        integral = F.sum(F.col("w") * F.col("cut") * (F.col("free") - F.col("cut") / 2)).alias("v")
+        now = rows.agg(integral, *[F.sum(F.col("w") * p[i] * F.col("cut")).alias(f"t{i}") for i in k], *[F.sum(inside * p[i] * p[j]).alias(f"a{i}_{j}") for i, j in pairs]).first()
+        return now["v"] / n, [now[f"t{i}"] / n for i in k], [[now[f"a{min(i, j)}_{max(i, j)}"] / n for j in k] for i in k]
+
+    factors = fit(sums, [s * budget / n for s in share], steps) if n else [0.0 for _ in k]
+    out = table.withColumn("rate", cut(free_rate(factors)))
     uniform = F.pmod(F.xxhash64("hash", F.col("doc").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = (F.floor("rate") + F.when(uniform < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     return out.select(F.col("doc").alias(key), F.col("hash").alias("text_hash"), F.col("n").alias("n_tokens"), *[p[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate", copies.alias("copies"))

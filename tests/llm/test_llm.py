@@ -240,6 +240,29 @@ def test_mixing_meets_targets(spark, odd, none):
     assert again.count() == 2 * len(ODD) and again.columns == odd.columns
 
 
+def test_mixing_fit_is_finished(spark, monkeypatch):
+    def rates(shares, soft=()):
+        rows = [(i, i, round(1000 * x), 1, *[float(i == j) for j in range(3)]) for i, x in enumerate(shares)] + list(soft)
+        table = spark.createDataFrame(rows, "doc long, hash long, n long, rows long, p0 double, p1 double, p2 double")
+        monkeypatch.setattr(mixing, "posteriors", lambda *_: table)
+        return rows, [r.rate for r in mixing.mix(None, None, **entry.MIX).orderBy("doc_id").collect()]
+
+    # sorted domains: clean, junk, toxic; the targets can be met
+    _, (clean, junk, toxic) = rates([121, 0.5, 17])
+    budget = 1.15 * 121 / 0.95
+    assert (clean, junk, toxic) == pytest.approx((1.15, 0.01 * budget / 0.5, 0.04 * budget / 17), rel=1e-3)
+    # they can't: junk stays at the bound
+    assert rates([121, 0.2, 17])[1] == pytest.approx([1.15, 4.0, 0.04 * budget / 17], rel=1e-3)
+    # soft membership: no rate can move towards a better fit
+    rng = np.random.default_rng(6)
+    for toxic in (0.2, 17):
+        rows, found = rates([60, 0.1, toxic], [(10 + i, i, int(rng.integers(1, 900)), 1, *map(float, rng.dirichlet([3, 0.1, 0.4]))) for i in range(200)])
+        w, p, r = np.array([x[2] for x in rows]), np.array([x[4:] for x in rows]), np.array(found)
+        gap = (w * r) @ p - np.array([0.95, 0.01, 0.04]) * 1.15 * (w @ p[:, 0]) / 0.95
+        slope = p @ gap / w.sum()
+        assert (r - np.clip(r - slope, 0, 4) == pytest.approx(0, abs=1e-5)) and (r > 0).any()
+
+
 # -- 7 ---------------------------------------------------------------------------------------------------------------
 
 
