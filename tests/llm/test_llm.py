@@ -391,6 +391,27 @@ def test_line_dedup_compares_whole_lines(spark):
     assert kept_lines_of(spark, [long, *(long[:k] + "x" + long[k + 1 :] for k in (0, 63, 64, 75, 76, 150, 299)), long[:150]]) == [0, 8]
 
 
+def test_line_dedup_by_full_shingles(spark, docs):
+    """Against all 12-character windows of every line, found here without the operator's pieces or patterns."""
+    base = "we go to the sea and we go to the hills and we see a lot of it all and then we go home and sit by the fire till it is out"
+    texts = docs + [(1000 + i, base[: 6 * i] + "#" + base[6 * i + 1 :] + f"\n{i}") for i in range(20)]
+    ids, places = {}, []
+    for d, t in texts:
+        for pos, raw in enumerate((t or "").split("\n")):
+            if line := raw.strip(" \t\r\xa0"):
+                places.append((d, pos, ids.setdefault(line, len(ids))))
+    sets = [frozenset(line[k : k + 12] for k in range(max(1, len(line) - 11))) for line in ids]
+    u, first, want = Union(len(sets)), {}, collections.defaultdict(list)
+    for a, b in similar_pairs(sets):
+        u.join(a, b)
+    for d, pos, k in places:
+        first.setdefault(u.find(k), (d, pos))
+    for d, pos in sorted(first.values()):
+        want[d].append(pos)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc: r.kept for r in line_dedup.kept_lines(df).collect()} == want
+
+
 # -- 9 ---------------------------------------------------------------------------------------------------------------
 
 
