@@ -4,7 +4,7 @@ A line is compared as it stands, without outer blanks; its set holds the charact
 position (a shorter line is one shingle). Lines are alike at a Jaccard similarity of 0.8 of these sets. Equal lines share a key
 and are one node.
 
-1. Lines are written once, with their keys. They are cut into overlapping pieces, so that no shingle is sought from the start of a
+1. Lines are not written: each use splits the texts again. They are cut into overlapping pieces, so that no shingle is sought from the start of a
    long line. The pieces' shingles are exploded and aggregated to minima under ``BANDS * ROWS`` hash functions, per line key:
    equal lines combine before the shuffle, and no text is shuffled.
 2. Banding: lines meet in a bucket for each band of ``ROWS`` minima. Two lines at similarity 0.8 share one of the seven bands of
@@ -92,7 +92,6 @@ def _alike(a: Column, b: Column, threshold: float) -> Column:
 def line_classes(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``node`` (a line key) and ``comp`` of the lines that are alike to another, different line; ``lines`` as of ``document_lines``."""
     placed = materialize(_members(_signatures(lines)), "line-buckets")
-    lines.sparkSession._jvm.System.gc()  # Spark deletes the shuffle files of collected plans; what they held is written
     texts = lines.select("lk", "line").join(placed.select("lk").distinct(), "lk", "left_semi").groupBy("lk").agg(F.first("line").alias("line"))
     texts = materialize(texts, "line-texts")
     star = placed.where("lk <> pivot").select(F.col("pivot").alias("a"), F.col("lk").alias("b")).distinct()
@@ -120,13 +119,13 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
 
     Documents of which no line stays have no row.
     """
-    lines = materialize(document_lines(docs, key, text), "lines")
+    lines = document_lines(docs, key, text)  # made of the texts at each use: written, they would double the documents
     comps = line_classes(lines, threshold)
     firsts = lines.groupBy("lk").agg(F.min(F.struct("doc", "hash", "pos")).alias("at"))
     classed = firsts.join(comps.withColumnRenamed("node", "lk"), "lk", "left").groupBy(F.coalesce("comp", "lk").alias("c")).agg(F.min("at").alias("at"))
     kept = classed.groupBy(F.col("at.doc").alias("doc"), F.col("at.hash").alias("hash")).agg(F.array_sort(F.collect_list("at.pos")).alias("kept"))
     kept = materialize(kept, "kept-lines")
-    release(lines, comps)
+    release(comps)
     return kept
 
 
