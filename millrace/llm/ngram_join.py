@@ -5,17 +5,23 @@ is one run). Documents are linked at a Jaccard similarity of 0.8. Documents with
 copies; they are never expanded.
 
 Chosen paths: a set is embedded as ``TOKENS`` min-hash tokens, and a run sends it down every token that a random function of
-run, path and token picks, 1.25 of them on average at similarity-0.8 overlap one or more in common. Sets on the same path
-share a bucket. Buckets with more than ``SMALL`` sets are split again by further tokens; small ones are compared within.
-``RUNS`` independent runs give a pair at the threshold a recall of over 0.999 on first-level paths, 0.996 on third-level ones.
+run, path and token picks. A pair at similarity 0.8 has one picked token in common on average at the first level and 1.6 at
+each further one. Sets on the same path share a bucket. Buckets with more than ``SMALL`` sets are split again by further
+tokens; small ones are compared within. The common paths of a pair are a branching process: a run brings the pair together
+with probability 0.63 at the first level and 0.47 or more at any depth, ``RUNS`` independent runs with 0.9995 or more. What
+``LEVELS`` levels have not split (only sets that share nearly all their tokens stay together for so long) is compared in full,
+in blocks.
 
 Within a bucket the comparisons go in two steps, so that their number stays near the number of members: each set with the
 bucket's set of most copies, exactly; then, after union-find, only the pairs across components, in buckets that are small or
 have been split until they are. Candidates pass an estimate from the tokens (0.8 less four deviations) before the texts
-themselves are compared. Texts are fetched once for the first step, and for what the second one adds.
+themselves are compared. A bucket reports no more candidates than connect the sets that likely pairs connect, fewer than its
+members; the sets that candidates connect are then compared exactly, in blocks. Texts are fetched once for the first step, and
+for what the second one adds.
 
 The number of links of a node counts all others in its component that are similar enough, exactly, by comparing the
-component's sets in blocks of bounded size; a block reports one number per set.
+component's sets in blocks of bounded size; a block reports one number per set. This is quadratic in the number of different
+texts of a component, as the number of links is: a text is sent to as many places as its component has blocks.
 """
 
 from __future__ import annotations
@@ -30,9 +36,11 @@ from pyspark.sql import functions as F
 from millrace.llm.common import materialize, release
 from millrace.llm.graph import components
 
-WORDS, TOKENS, RUNS, SMALL, BLOCK, LEVELS = 5, 64, 12, 8192, 128, 8
-#: Tokens picked on average, of those that two sets at the threshold share: one.
-PICK = 1 / (0.8 * TOKENS)
+WORDS, TOKENS, RUNS = 5, 64, 12
+#: Sets of a bucket that are compared at once; levels of paths; sets of a block of a component, and their sizes in total.
+SMALL, LEVELS, BLOCK, BLOCK_SIZE = 8192, 8, 256, 500_000
+#: Tokens picked on average, of those that two sets at the threshold share: at the first level, and at further ones.
+PICK, PICK_AGAIN = 1 / (0.8 * TOKENS), 1.6 / (0.8 * TOKENS)
 #: Bytes of text that are worked on at once; a longer document is worked on alone.
 SLICE = 1 << 20
 
@@ -124,12 +132,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc", "hash", "f1", "f2", "size", "tokens"])
 
 
-def _choose(seeds: np.ndarray, paths: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _choose(seeds: np.ndarray, paths: np.ndarray, tokens: np.ndarray, pick: float) -> tuple[np.ndarray, np.ndarray]:
     """For rows of paths and token vectors: the rows and the new paths of what each row's random function picks."""
     with np.errstate(over="ignore"):
         value = tokens.astype(np.uint64) + (np.arange(TOKENS, dtype=np.uint64) << np.uint64(32))[None, :]
         drawn = mixed(value * _BASE + mixed(paths + seeds)[:, None])
-        row, column = np.nonzero(drawn < np.uint64(int(PICK * 2**64)))
+        row, column = np.nonzero(drawn < np.uint64(int(pick * 2**64)))
         return row, mixed(drawn[row, column] + np.uint64(1))
 
 
@@ -138,7 +146,7 @@ def _first_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).to_numpy()
         tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, TOKENS)
         for run in range(RUNS):
-            row, path = _choose(np.uint64(run), np.full(len(ids), run, np.uint64), tokens)
+            row, path = _choose(np.uint64(run), np.full(len(ids), run, np.uint64), tokens, PICK)
             yield pa.RecordBatch.from_arrays([pa.array(path.astype(np.int64)), pa.array(ids[row])], names=["bucket", "id"])
 
 
@@ -146,7 +154,7 @@ def _next_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(1).to_numpy()
         tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, TOKENS)
-        row, path = _choose(np.uint64(RUNS), batch.column(0).to_numpy().astype(np.uint64), tokens)
+        row, path = _choose(np.uint64(RUNS), batch.column(0).to_numpy().astype(np.uint64), tokens, PICK_AGAIN)
         yield pa.RecordBatch.from_arrays([pa.array(path.astype(np.int64)), pa.array(ids[row])], names=["bucket", "id"])
 
 
@@ -170,13 +178,48 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """The likely pairs across components within small buckets. ``members``: bucket, id, comp, size, tokens.
+def _forest(bucket: np.ndarray, comp: np.ndarray, size: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of likely pairs across components that connect all that such pairs connect in each bucket, without circles.
 
-    Rows are sorted by bucket and compared with those 1, 2, ... places on, all buckets of a batch at once; a bucket that a
-    batch cuts waits for the next one.
+    Rows are sorted by bucket and compared with those 1, 2, ... places on, all buckets at once; pairs that are already
+    connected are passed over.
     """
     least = _least_agreement(threshold)
+    above = np.arange(len(bucket))
+    top = above.copy()
+    found: list[tuple[int, int]] = []
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = int(above[x])
+        return x
+
+    for d in range(1, len(bucket)):
+        i = np.flatnonzero(bucket[:-d] == bucket[d:])
+        if not len(i):
+            break
+        i = i[(comp[i] != comp[i + d]) & (top[i] != top[i + d]) & (np.minimum(size[i], size[i + d]) >= threshold * np.maximum(size[i], size[i + d]))]
+        joined = len(found)
+        for part in np.array_split(i, len(i) // 4096 + 1):
+            for a in part[(tokens[part] == tokens[part + d]).sum(axis=1) >= least].tolist():
+                x, y = root(a), root(a + d)
+                if x != y:
+                    above[x] = y
+                    found.append((a, a + d))
+        if len(found) > joined:
+            top = above
+            while (top != above[top]).any():
+                top = above[top]
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _across(members: DataFrame, threshold: float) -> DataFrame:
+    """Likely pairs across components within small buckets, ``_forest`` of each. ``members``: bucket, id, comp, size, tokens.
+
+    A bucket that a batch cuts waits for the next one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -184,17 +227,9 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
         def compare(rows: pa.Table) -> pa.RecordBatch:
             bucket, ids, comp, size = (rows.column(i).to_numpy() for i in range(4))
             tokens = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint32).reshape(-1, TOKENS)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for d in range(1, rows.num_rows):
-                i = np.flatnonzero(bucket[:-d] == bucket[d:])
-                if not len(i):
-                    break
-                i = i[(comp[i] != comp[i + d]) & (np.minimum(size[i], size[i + d]) >= threshold * np.maximum(size[i], size[i + d]))]
-                for part in np.array_split(i, len(i) // 4096 + 1):
-                    good = part[(tokens[part] == tokens[part + d]).sum(axis=1) >= least]
-                    found.append((np.minimum(ids[good], ids[good + d]), np.maximum(ids[good], ids[good + d])))
-            pairs = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], names=["a", "b"])
+            x, y = _forest(bucket, comp, size, tokens, threshold)
+            pairs = [np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]
+            return pa.RecordBatch.from_arrays([pa.array(p, pa.int64()) for p in pairs], names=["a", "b"])
 
         for batch in batches:
             rows = pa.Table.from_batches([batch])
@@ -210,6 +245,13 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     return members.select("bucket", "id", "comp", "size", "tokens").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint")
 
 
+def _halves(large: DataFrame) -> DataFrame:
+    """Buckets of any size as pairs of blocks of half a small bucket: every two members meet in one at least."""
+    dealt = large.withColumn("nb", F.ceil(F.col("n") / (SMALL // 2)).cast("int")).withColumn("x", F.pmod(F.xxhash64("id"), "nb").cast("int"))
+    spread = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return spread.withColumn("bucket", F.xxhash64("bucket", F.least("x", "y"), F.greatest("x", "y"))).drop("nb", "x", "y")
+
+
 def _exact(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("xa")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("xb")), "b").select("a", "b", "xa", "xb")
@@ -286,12 +328,13 @@ def _block_edges(threshold: float):
 
 
 def _blocks(members: DataFrame, run, out: str, half: bool = False) -> DataFrame:
-    """All pairs of blocks of each component, as cogroups. ``members``: comp, n (the component's size), id, text, copies.
+    """All pairs of blocks of each component, as cogroups. ``members``: comp, n and total (its sets and their sizes), id, text, copies.
 
-    A component of n sets has n / ``BLOCK`` blocks, to which the sets are dealt by their ids; with ``half`` a pair of blocks
-    comes once.
+    A component of n sets has n / ``BLOCK`` blocks, or as many as its total size takes, to which the sets are dealt by their
+    ids; with ``half`` a pair of blocks comes once.
     """
-    dealt = members.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("x", F.pmod("id", "nb").cast("int"))
+    number = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SIZE)).cast("int")
+    dealt = members.withColumn("nb", number).withColumn("x", F.pmod("id", "nb").cast("int"))
     left = dealt.select("id", "text", "comp", "x", F.explode(F.sequence(F.col("x") if half else F.lit(0), F.col("nb") - 1)).alias("y"))
     renewed = dealt.select(*[F.col(c).alias(c) for c in ("id", "copies", "text", "comp", "nb", "x")])  # columns of its own
     right = renewed.select("id", "copies", "text", "comp", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("x") if half else F.col("nb") - 1)).alias("x"))
@@ -308,16 +351,17 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[Da
     nodes = sketched.where("size > 0").groupBy("id").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.count("*").alias("copies"), F.min("doc").alias("doc"))
     nodes = materialize(nodes, "nodes")
     paths = materialize(nodes.select("id", "tokens").mapInArrow(_first_paths, "bucket bigint, id bigint"), "paths")
-    members = _shared(paths)
-    weighed = members.join(nodes.select("id", "copies"), "id")
+    shared = _shared(paths)
+    weighed = shared.join(nodes.select("id", "copies"), "id")
     pivots = weighed.groupBy("bucket").agg(F.max(F.struct("copies", "id")).alias("top")).select("bucket", F.col("top.id").alias("pivot"))
-    star = members.join(pivots, "bucket").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    members = materialize(shared.join(pivots, "bucket").where("id <> pivot"), "members")  # the pivot's own pairs are done with the star
+    star = members.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     likely = materialize(_estimated(star, nodes, threshold), "likely")
     texts = _texts(_ends(likely), sketched, rows)
     links = materialize(_exact(likely, texts, threshold), "links")
     united = components(links)
     comps = united.select(F.col("node").alias("id"), "comp")
-    done = [paths, members, likely, links, united]
+    done = [paths, shared, members, likely, links, united]
     found = []
     for level in range(LEVELS):
         labelled = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -325,15 +369,11 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[Da
         rest = labelled.join(unsettled, "bucket", "left_semi").join(nodes.select("id", "size", "tokens"), "id")
         rest = materialize(rest.select("bucket", "id", "n", "comp", "size", "tokens"), "unsettled")
         done.append(rest)
-        found.append(materialize(_across(rest.where(F.col("n") <= SMALL), threshold).distinct(), "candidates"))
         large = rest.where(F.col("n") > SMALL)
-        if large.isEmpty():
-            break
-        if level == LEVELS - 1:  # what no path has split is compared as it is
-            left = large.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"))
-            right = large.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("nb"))
-            pairs = left.join(right, "bucket").where(f"ca <> cb and a < b and least(na, nb) >= {threshold} * greatest(na, nb)")
-            found.append(materialize(_estimated(pairs.select("a", "b").distinct(), nodes, threshold), "candidates"))
+        last = level == LEVELS - 1
+        small = rest.where(F.col("n") <= SMALL)
+        found.append(materialize(_across(small.unionByName(_halves(large)) if last else small, threshold).distinct(), "candidates"))
+        if last or large.isEmpty():
             break
         paths = materialize(large.select("bucket", "id", "tokens").mapInArrow(_next_paths, "bucket bigint, id bigint").distinct(), "paths")
         members = _shared(paths)
@@ -341,20 +381,22 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[Da
     more = found[0]
     for x in found[1:]:
         more = more.union(x)
-    more = materialize(more.distinct().join(likely, ["a", "b"], "left_anti"), "candidates")
+    # none is left out for having been refuted above: it may hold together what others connect
+    more = materialize(more.distinct(), "candidates")
     done += [*found, more]
     if not more.isEmpty():
         added = _ends(more).join(texts.select("id"), "id", "left_anti")
         texts = texts.union(_texts(added, sketched, rows))
         # sets that candidate pairs connect are compared in blocks: only links come out, a few for each set
         near = components(more)
-        sized = near.join(near.groupBy("comp").agg(F.count("*").alias("n")), "comp")
-        members = sized.select(F.col("node").alias("id"), "comp", "n").join(texts, "id").withColumn("copies", F.lit(1))
+        sized = near.select(F.col("node").alias("id"), "comp").join(nodes.select("id", "size"), "id")
+        sized = sized.join(sized.groupBy("comp").agg(F.count("*").alias("n"), F.sum("size").alias("total")), "comp")
+        members = sized.select("id", "comp", "n", "total").join(texts, "id").withColumn("copies", F.lit(1))
         others = materialize(_blocks(members, _block_edges(threshold), "a bigint, b bigint", half=True), "links")
         united = components(links.union(others))
         comps = united.select(F.col("node").alias("id"), "comp")
         done += [others, united, near]
-    joined = nodes.select("id", "copies", "doc").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    joined = nodes.select("id", "copies", "doc", "size").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     classes = materialize(joined, "classes")
     release(*done, nodes)
     return sketched, classes, texts
@@ -378,9 +420,9 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     empty table gives an empty result. Other columns are left out.
     """
     sketched, joined, texts = _classes(docs, key, text, threshold)
-    named = joined.groupBy("comp").agg(F.min("doc").alias("class_id"), F.count("*").alias("n"))
+    named = joined.groupBy("comp").agg(F.min("doc").alias("class_id"), F.count("*").alias("n"), F.sum("size").alias("total"))
     result = joined.join(named, "comp")
-    linked = result.where("n > 1").join(texts, "id").select("comp", "n", "id", "text", F.col("copies").cast("bigint").alias("copies"))
+    linked = result.where("n > 1").join(texts, "id").select("comp", "n", "total", "id", "text", F.col("copies").cast("bigint").alias("copies"))
     blocks = _blocks(linked, _block_links(threshold), "id bigint, links bigint")
     result = result.join(blocks.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     out = sketched.select("doc", "id").join(result.select("id", "class_id", "n_links"), "id", "left")
@@ -395,13 +437,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     """
     sketched, joined, _ = _classes(docs, key, text, threshold)
     least = sketched.where("id is not null").groupBy("id").agg(F.min(F.struct("doc", "hash")).alias("at"))
-    first = least.join(joined.select("id", "comp"), "id").groupBy("comp").agg(F.min("at").alias("at")).select(F.col("at.doc").alias("__doc"), F.col("at.hash").alias("__at"))
-    empty = sketched.where("id is null").select(F.col("doc").alias("__doc"), F.col("hash").alias("__at")).distinct()
-    stay = first.withColumn("__once", F.lit(True)).union(empty.withColumn("__once", F.lit(False)))
-    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
-    kept = rows.join(stay, rows[key].eqNullSafe(stay["__doc"]) & (rows["__hash"] == stay["__at"]))
-    once = kept.where("__once").dropDuplicates([key, "__hash"])
-    return once.union(kept.where("not __once")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = least.join(joined.select("id", "comp"), "id").groupBy("comp").agg(F.min("at").alias("at")).select(F.col("at.doc").alias("doc"), F.col("at.hash").alias("hash"))
+    empty = sketched.where("id is null").select("doc", "hash").distinct()
+    stay = first.withColumn("once", F.lit(True)).union(empty.withColumn("once", F.lit(False)))
+    # the caller's columns go along as one, so that no name of theirs can clash with one of these
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{key}`").alias("doc"), F.xxhash64(whole).alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(stay, rows["doc"].eqNullSafe(stay["doc"]) & (rows["hash"] == stay["hash"])).select(rows["doc"], rows["hash"], "row", "once")
+    once = kept.where("once").dropDuplicates(["doc", "hash"])
+    return once.union(kept.where("not once")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _texts(ids: DataFrame, sketched: DataFrame, rows: DataFrame) -> DataFrame:
