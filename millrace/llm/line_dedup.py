@@ -4,74 +4,81 @@ A line is compared as it stands, without outer blanks; its set holds the charact
 position (a shorter line is one shingle). Lines are alike at a Jaccard similarity of 0.8 of these sets. Equal lines share a key
 and are one node.
 
-1. Lines are not written: each use splits the texts again. They are cut into overlapping pieces, so that no shingle is sought from the start of a
-   long line. The pieces' shingles are exploded and aggregated to minima under ``BANDS * ROWS`` hash functions, per line key:
-   equal lines combine before the shuffle, and no text is shuffled.
+1. Lines are not written: each use splits the texts again. A line is encoded with four bytes a code point, so that the shingle at
+   any position is a slice of bytes, found without a walk from the line's start. Shingles are exploded, hashed and aggregated to
+   minima under ``BANDS * ROWS`` functions, per line key: equal lines combine before the shuffle, and no text is shuffled. The
+   functions are the combinations of one, two or three rotations of the 64-bit hash by multiples of 16 bits; their leading bits
+   are different sums (modulo 2) of the hash's four independent words, so any two are independent.
 2. Banding: lines meet in a bucket for each band of ``ROWS`` minima. Two lines at similarity 0.8 share one of the seven bands of
    two with probability 0.999.
 3. Verification: exact Jaccard of the sets, first of each line in a bucket with the bucket's most frequent line, which is
-   linear however large the bucket and links the copies of a line to the line itself. The texts are what is written for this; the
-   sets, several times as large, are made of them pair by pair. Pairs that union-find already joins
+   linear however large the bucket and links the copies of a line to the line itself. The texts of lines in buckets are what is
+   written for this; the sets, several times as large, are made of them pair by pair. Pairs that union-find already joins
    need no check; the other pairs of a bucket, those across its components, are then all compared, within the join: only
    links come out of it.
 4. Union-find gives the components. Of each component the first line in order of document id, text hash and line number stays.
 
-Blank lines are never dropped. A line key has 64 bits; among n different lines about n^2 / 2^65 pairs collide.
+Pairs come to step 3 only if at least ``AGREE`` of their minima are equal. Blank lines are never dropped. A line key has 64 bits; among n different lines about n^2 / 2^65 pairs collide.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize, release
 from millrace.llm.graph import components
 
-SHINGLE, BANDS, ROWS = 12, 7, 2
-#: Shingles that start in a piece of a line.
-PIECE = 64
+SHINGLE, BANDS, ROWS, BLANKS = 12, 7, 2, " \t\r\u00a0"
+#: Equal minima that a pair needs before its texts are compared: of pairs at similarity 0.8 that share a band, 0.9994 have them.
+AGREE = 7
+#: Lines of a bucket that are compared at once, all with all.
+BLOCK = 4096
+#: Bytes of a code point in ``UNITS``; bits of a word of the table by which lines in no bucket are passed over, and its words at most.
+WIDTH, UNITS, WORD, TABLE = 4, "UTF-32", 64, 1 << 18
 
 
 def folded(line: Column) -> Column:
-    return F.trim(line, F.lit(" \t\r\u00a0"))
-
+    """The line without outer blanks; few lines have any, and looking is cheaper than trimming."""
+    outer = reduce(lambda a, b: a | b, [x for c in BLANKS for x in (line.startswith(c), line.endswith(c))])
+    return F.when(outer, F.trim(line, F.lit(BLANKS))).otherwise(line)
 
-def _pieces(line: Column) -> Column:
-    """Pieces of the line that hold its shingles: each position's shingle is in one of them, and no shorter one in any."""
-    most = PIECE + SHINGLE - 1
-    cut = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE},{most}}})).{{1,{PIECE}}}"), F.lit(1))
-    return F.when(F.length(line) <= most, F.array(line)).otherwise(cut)
 
+def _starts(units: Column) -> Column:
+    """The shingles' places in bytes, from 1; a shorter line has one shingle."""
+    return F.sequence(F.lit(1), F.greatest(F.length(units) - (SHINGLE * WIDTH - 1), F.lit(1)), F.lit(WIDTH))
 
-def _starts(piece: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.length(piece) - (SHINGLE - 1), F.lit(1)))
 
-
-def _hash(piece: Column, start: Column) -> Column:
-    return F.xxhash64(F.substring(piece, start, F.lit(SHINGLE)))
+def _hash(units: Column, start: Column) -> Column:
+    return F.xxhash64(F.substring(units, start, F.lit(SHINGLE * WIDTH)))
 
 
 def shingle_set(line: Column) -> Column:
     """The hashes of the line's shingles, each once."""
-    return F.array_distinct(F.flatten(F.transform(_pieces(line), lambda piece: F.transform(_starts(piece), lambda i: _hash(piece, i)))))
+    # within a lambda, so that the line is encoded once
+    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, UNITS)), lambda units: F.transform(_starts(units), lambda i: _hash(units, i)))))
 
 
 def document_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc``, ``hash`` (of the text), ``pos``, ``line`` and its key ``lk`` of every line that isn't blank."""
+    """``doc``, ``hash`` (of the text), ``pos``, ``line`` and its key ``lk`` of every line; a blank line's key is its own."""
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").alias("doc"), F.xxhash64(whole).alias("hash"), F.posexplode(F.split(whole, "\n")).alias("pos", "raw"))
-    return rows.select("doc", "hash", "pos", folded(F.col("raw")).alias("line")).where("line <> ''").withColumn("lk", F.xxhash64("line"))
+    rows = rows.select("doc", "hash", "pos", folded(F.col("raw")).alias("line"))
+    return rows.withColumn("lk", F.when(F.col("line") == "", F.xxhash64("doc", "hash", "pos")).otherwise(F.xxhash64("line")))
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
     """A row per line key: the minima of its shingles' hashes, and its shingles over all occurrences as a weight."""
-    pieces = lines.select("lk", F.explode(_pieces(F.col("line"))).alias("piece"))
-    each = pieces.select("lk", "piece", F.explode(_starts(F.col("piece"))).alias("i")).select("lk", _hash(F.col("piece"), F.col("i")).alias("h"))
-    low, high = F.lit(0xFFFFFFFF), F.shiftrightunsigned("h", 32).bitwiseOR(F.lit(1))
-    each = each.select("lk", F.col("h").bitwiseAND(low).alias("h1"), high.alias("h2"))
-    # double hashing modulo 2^32 stands for independent functions
-    minima = [F.min((F.col("h1") + F.col("h2") * F.lit(i)).bitwiseAND(low)).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    return each.groupBy("lk").agg(F.count("*").alias("weight"), *minima)
+    encoded = lines.select("lk", F.encode("line", UNITS).alias("units"))
+    each = encoded.select("lk", "units", F.explode(_starts(F.col("units"))).alias("i")).select("lk", _hash(F.col("units"), F.col("i")).alias("r0"))
+    turned = [F.shiftleft("r0", k).bitwiseOR(F.shiftrightunsigned("r0", 64 - k)).alias(f"r{k // 16}") for k in (16, 32, 48)]
+    choices = [c for n in (1, 2, 3) for c in combinations(["r0", "r1", "r2", "r3"], n)]
+    functions = [reduce(lambda a, b: a.bitwiseXOR(b), [F.col(r) for r in c]) for c in choices]
+    minima = [F.min(f).alias(f"m{i}") for i, f in enumerate(functions[: BANDS * ROWS])]
+    return each.select("lk", "r0", *turned).groupBy("lk").agg(F.count("*").alias("weight"), *minima)
 
 
 def _members(signatures: DataFrame) -> DataFrame:
@@ -83,49 +90,89 @@ def _members(signatures: DataFrame) -> DataFrame:
     return placed.where("n > 1").drop("n")
 
 
+def _texts(lines: DataFrame, placed: DataFrame) -> DataFrame:
+    """``lk`` and ``line`` of the lines in buckets.
+
+    A table of bits for the keys' low bits, of ``TABLE`` words at most however many lines there are, passes over most lines in no
+    bucket before their texts are shuffled; the semi-join does the rest.
+    """
+    place = F.col("lk").bitwiseAND(F.lit(TABLE * WORD - 1))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(WORD - 1)).cast("int")
+    wanted = placed.select("lk").distinct()
+    words = wanted.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    passed = lines.select("lk", "line", word.alias("word"), bit.alias("bit")).join(F.broadcast(words), "word").where(F.getbit("bits", "bit") == 1)
+    return passed.select("lk", "line").join(wanted, "lk", "left_semi").groupBy("lk").agg(F.first("line").alias("line"))
+
+
 def _alike(a: Column, b: Column, threshold: float) -> Column:
     fits = F.least(F.size(a), F.size(b)) >= threshold * F.greatest(F.size(a), F.size(b))
     shared = F.size(F.array_intersect(a, b))
     return fits & (shared * (1 + threshold) >= threshold * (F.size(a) + F.size(b)) - 1e-9)
 
 
+def _agree(a: str, b: str) -> Column:
+    same = [(F.col(a)[i] == F.col(b)[i]).cast("int") for i in range(BANDS * ROWS)]
+    return reduce(lambda x, y: x + y, same) >= AGREE
+
+
+def _exact(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    near = pairs.join(texts.select(F.col("lk").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("lk").alias("b"), F.col("line").alias("lb")), "b")
+    # made by a generator, so that each set is made once a pair and the comparison is compiled
+    sets = F.explode(F.array(F.struct(shingle_set(F.col("la")).alias("a"), shingle_set(F.col("lb")).alias("b"))))
+    return near.select("a", "b", sets.alias("sets")).where(_alike(F.col("sets.a"), F.col("sets.b"), threshold)).select("a", "b")
+
+
+def _across(rest: DataFrame) -> DataFrame:
+    """Likely pairs across components of a bucket. ``rest``: bucket, n (its rows here), lk, comp, minima.
+
+    A bucket's rows are dealt to blocks of about ``BLOCK`` lines by their keys, and pairs of blocks are joined, so that the
+    comparisons within a large bucket are spread over many tasks. Only likely pairs come out of the join.
+    """
+    dealt = rest.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("x", F.pmod(F.xxhash64("lk"), "nb").cast("int"))
+    left = dealt.select("bucket", "x", F.explode(F.sequence(F.col("x"), F.col("nb") - 1)).alias("y"), F.col("lk").alias("a"), F.col("comp").alias("ca"), F.col("minima").alias("ma"))
+    right = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("x"))).alias("x"), F.col("x").alias("y"), F.col("lk").alias("b"), F.col("comp").alias("cb"), F.col("minima").alias("mb"))
+    same = (left["bucket"] == right["bucket"]) & (left["x"] == right["x"]) & (left["y"] == right["y"])
+    once = (left["x"] < left["y"]) | (F.col("a") < F.col("b"))
+    return left.join(right, same & once & (F.col("ca") != F.col("cb")) & _agree("ma", "mb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def line_classes(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``node`` (a line key) and ``comp`` of the lines that are alike to another, different line; ``lines`` as of ``document_lines``."""
-    placed = materialize(_members(_signatures(lines)), "line-buckets")
-    texts = lines.select("lk", "line").join(placed.select("lk").distinct(), "lk", "left_semi").groupBy("lk").agg(F.first("line").alias("line"))
-    texts = materialize(texts, "line-texts")
+    lines = lines.where("line <> ''")
+    signatures = materialize(_signatures(lines), "line-signatures")
+    placed = materialize(_members(signatures), "line-buckets")
+    sketches = signatures.join(placed.select("lk").distinct(), "lk", "left_semi").select("lk", F.array(*[f"m{i}" for i in range(BANDS * ROWS)]).alias("minima"))
+    sketches = materialize(sketches, "line-sketches")
+    release(signatures)
+    texts = materialize(_texts(lines, placed), "line-texts")
     star = placed.where("lk <> pivot").select(F.col("pivot").alias("a"), F.col("lk").alias("b")).distinct()
-    near = star.join(texts.select(F.col("lk").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("lk").alias("b"), F.col("line").alias("lb")), "b")
-    # within a lambda, so that each set is made once a pair and not once for each use
-    sets = F.array(F.struct(shingle_set(F.col("la")).alias("a"), shingle_set(F.col("lb")).alias("b")))
-    edges = materialize(near.where(F.exists(sets, lambda s: _alike(s["a"], s["b"], threshold))).select("a", "b"), "line-links")
+    star = star.join(sketches.select(F.col("lk").alias("a"), F.col("minima").alias("ma")), "a").join(sketches.select(F.col("lk").alias("b"), F.col("minima").alias("mb")), "b")
+    edges = materialize(_exact(star.where(_agree("ma", "mb")).select("a", "b"), texts, threshold), "line-links")
     comps = components(edges)
     # pairs across components: only buckets with several components have any, and those with the pivot are done
-    labelled = placed.join(comps.withColumnRenamed("node", "lk"), "lk", "left").withColumn("comp", F.coalesce("comp", "lk"))
-    mixed = labelled.where("lk <> pivot").groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
-    rest = labelled.where("lk <> pivot").join(mixed, "bucket", "left_semi").join(texts, "lk").select("bucket", "lk", "comp", shingle_set(F.col("line")).alias("set"))
-    rest = materialize(rest, "line-rest")
-    left = rest.select("bucket", F.col("lk").alias("a"), F.col("comp").alias("ca"), F.col("set").alias("sa"))
-    right = rest.select("bucket", F.col("lk").alias("b"), F.col("comp").alias("cb"), F.col("set").alias("sb"))
-    across = (left["bucket"] == right["bucket"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
-    more = materialize(left.join(right, across & _alike(F.col("sa"), F.col("sb"), threshold)).select("a", "b").distinct(), "line-links")
+    labelled = placed.where("lk <> pivot").join(comps.withColumnRenamed("node", "lk"), "lk", "left").withColumn("comp", F.coalesce("comp", "lk"))
+    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("bucket", "n")
+    rest = materialize(labelled.join(mixed, "bucket").join(sketches, "lk").select("bucket", "n", "lk", "comp", "minima"), "line-rest")
+    likely = materialize(_across(rest), "line-pairs")
+    more = materialize(_exact(likely, texts, threshold), "line-links")
     whole = comps if more.isEmpty() else components(edges.union(more))
-    release(placed, texts, edges, rest, more, *([comps] if whole is not comps else []))
+    release(placed, sketches, texts, edges, rest, likely, more, *([comps] if whole is not comps else []))
     return whole
 
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """``doc``, ``hash`` and ``kept``: the numbers (from 0) of a document's lines that stay, blank ones not among them.
+    """``doc``, ``hash`` and ``kept``: the numbers (from 0) of a document's lines that stay, all blank ones among them.
 
     Documents of which no line stays have no row.
     """
     lines = document_lines(docs, key, text)  # made of the texts at each use: written, they would double the documents
     comps = line_classes(lines, threshold)
     firsts = lines.groupBy("lk").agg(F.min(F.struct("doc", "hash", "pos")).alias("at"))
-    classed = firsts.join(comps.withColumnRenamed("node", "lk"), "lk", "left").groupBy(F.coalesce("comp", "lk").alias("c")).agg(F.min("at").alias("at"))
-    kept = classed.groupBy(F.col("at.doc").alias("doc"), F.col("at.hash").alias("hash")).agg(F.array_sort(F.collect_list("at.pos")).alias("kept"))
+    labelled = materialize(firsts.join(comps.withColumnRenamed("node", "lk"), "lk", "left").select("at.*", "comp"), "line-firsts")
+    least = labelled.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc", "hash", "pos")).alias("at")).select("at.*")
+    kept = labelled.where("comp is null").drop("comp").union(least).groupBy("doc", "hash").agg(F.array_sort(F.collect_list("pos")).alias("kept"))
     kept = materialize(kept, "kept-lines")
-    release(comps)
+    release(comps, labelled)
     return kept
 
 
@@ -140,21 +187,19 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     kept = kept_lines(docs, key, text, threshold)
     new = ("n_lines", "n_kept", "kept_lines")
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (text, *new)], F.xxhash64(whole).alias("__hash"), whole.alias("__text"))
-    kind = "array<struct<pos:int,blank:boolean>>"
-    numbered = F.transform(F.split("__text", "\n"), lambda x, i: F.struct(i.alias("pos"), (folded(x) == "").alias("blank"))).cast(kind)
-    blanks = F.transform(F.filter(numbered, lambda x: x["blank"]), lambda x: x["pos"])
-    any_blank = F.col("__text").rlike(r"(?:\A|\n)[ \t\r\u00a0]*(?:\n|\z)")
-    feeds = F.length("__text") - F.length(F.replace(F.col("__text"), F.lit("\n"), F.lit("")))
-    rows = rows.withColumn("n_lines", feeds + 1).withColumn("__blank", F.when(any_blank, blanks).otherwise(F.array().cast("array<int>")))
-    if not with_text:
-        rows = rows.drop("__text")
-    joined = rows.join(kept, rows[key].eqNullSafe(kept["doc"]) & (rows["__hash"] == kept["hash"]), "left")
-    stay = F.array_sort(F.concat("__blank", F.coalesce("kept", F.array().cast("array<int>"))))
-    names = [F.col(f"`{c}`") for c in docs.columns if c not in (text, *new)]
-    out = joined.withColumn("kept_lines", stay).withColumn("n_kept", F.size("kept_lines"))
+    own = [c for c in docs.columns if c not in (text, *new)]
+    # the caller's columns go along as one, so that no name of theirs can clash with one of these
+    row = F.struct(*[F.col(f"`{c}`") for c in own], F.lit(0))
+    rows = docs.select(row.alias("row"), F.col(f"`{key}`").alias("doc"), F.xxhash64(whole).alias("hash"), whole.alias("text"))
+    feeds = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    rows = rows.withColumn("n_lines", feeds + 1)
     if not with_text:
-        return out.select(*names, "n_lines", "n_kept", "kept_lines")
-    out = out.withColumn("__lines", F.split("__text", "\n"))
-    text_out = F.array_join(F.transform("kept_lines", lambda i: F.get("__lines", i)), "\n")
-    return out.select(*names, text_out.alias(text), "n_lines", "n_kept")
+        rows = rows.drop("text")
+    joined = rows.join(kept, rows["doc"].eqNullSafe(kept["doc"]) & (rows["hash"] == kept["hash"]), "left")
+    stay = F.coalesce("kept", F.array().cast("array<int>"))
+    out = joined.withColumn("stay", stay).withColumn("n_stay", F.size("stay"))
+    if with_text:
+        out = out.withColumn("all_lines", F.split("text", "\n")).withColumn("stays", F.array_join(F.transform("stay", lambda i: F.get("all_lines", i)), "\n"))
+    new_columns = {text: "stays", "n_lines": "n_lines", "n_kept": "n_stay"} if with_text else {"n_lines": "n_lines", "n_kept": "n_stay", "kept_lines": "stay"}
+    out = out.select("row", F.struct(*[F.col(c).alias(n) for n, c in new_columns.items()]).alias("new"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in own], *[F.col("new").getField(n).alias(n) for n in new_columns])

@@ -373,6 +373,15 @@ def test_line_dedup_odd_rows(spark, odd, none):
     assert {r.text for r in rows if r.doc_id == 3} == {"  \n\n "}
 
 
+def test_line_dedup_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a line\n\nof text"), (2, "a line"), (3, None)], "doc_id long, text string")
+    df = df.withColumns({c: F.lit(i) for i, c in enumerate(("doc", "hash", "kept", "__hash", "row", "lines", "stay", "n_lines", "blank", "pos", "lk"))})
+    rows = line_dedup.dedup_lines(df).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text, r.n_lines, r.n_kept, r.hash, r.lines) for r in rows] == [(1, "a line\n\nof text", 3, 3, 1, 5), (2, "", 1, 0, 1, 5), (3, "", 1, 1, 1, 5)]
+    # only the key and the text: no other column goes along
+    assert line_dedup.dedup_lines(df.select("doc_id", "text"), with_text=False).columns == ["doc_id", "n_lines", "n_kept", "kept_lines"]
+
+
 def kept_lines_of(spark, lines):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     return [r.doc_id for r in line_dedup.dedup_lines(df, with_text=False).orderBy("doc_id").collect() if r.n_kept]
@@ -439,6 +448,40 @@ def test_ngram_join_by_brute_force(spark, docs):
     assert kept == sorted({c for c, _ in want.values()})
 
 
+@pytest.mark.parametrize("small, levels", [(8, 4), (8, 1)])
+def test_ngram_join_recursion(spark, monkeypatch, small, levels):
+    """Buckets split by further tokens, and those that the last level leaves whole: the recall against brute force."""
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "LEVELS", levels)
+    rng = np.random.default_rng(9)
+    texts = []
+    for group in range(3):
+        words = [f"g{group}w{i}" for i in range(200)]
+        for i in range(80):  # a random walk: neighbours are alike, distant ones are not
+            for k in rng.choice(200, 2, replace=False):
+                words[k] = f"x{group}_{i}_{k}"
+            texts.append((group * 100 + i, " ".join(words)))
+    texts += [(900 + i, " ".join(f"u{i}w{k}" for k in range(50))) for i in range(40)]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.split() for _, t in texts)]
+    pairs = similar_pairs(sets)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similarity_classes(df).collect()}
+    together = sum(found[texts[a][0]][0] == found[texts[b][0]][0] for a, b in pairs)
+    assert len(pairs) > 200 and together >= 0.99 * len(pairs)
+    u = Union(len(sets))
+    for a, b in pairs:
+        u.join(a, b)
+    # no class holds what brute force keeps apart
+    assert all(u.find(i) == u.find(j) for i in range(len(sets)) for j in range(i) if found[texts[i][0]][0] == found[texts[j][0]][0])
+
+
+def test_ngram_join_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 5), (2, "a b c d e f", 6), (3, None, 7)], "doc_id long, text string, doc long")
+    df = df.withColumns({c: F.lit(1) for c in ("hash", "row", "once", "__doc", "__at", "__once", "__hash", "id", "comp", "a.b")})
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.doc) for r in kept.collect()) == [(1, 5), (3, 7)]
+
+
 def test_ngram_join_odd_rows(spark, odd, none):
     rows = ngram_join.similarity_classes(odd).collect()
     assert len(rows) == len(ODD) and ngram_join.similarity_classes(none).count() == 0
