@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import schema as S
-from millrace.functions.expressions import field, negate, opaque, param
+from millrace.functions.expressions import TRUE, field, from_json, negate, opaque, param, to_json
 from millrace.functions.text import Tokenizer
 from millrace.operators import changes as C
 from millrace.operators import search as X
-from millrace.operators.query import Composer, Query, query
+from millrace.operators.query import Composer, Query, cosine_distance, query
 from millrace.plans import wire
+from millrace.sources import tables
 from millrace.streaming import live
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -396,8 +397,6 @@ _VECTORS = "(select vec_id, label, list_transform(embedding, lambda x: x::double
 
 @case(f"select vec_id, round({_DISTANCE}, 6) as distance from {_VECTORS} order by {_DISTANCE}, vec_id limit 10")
 def nearest_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.operators.query import cosine_distance
-
     found = q(spark, sf_dir, "embeddings").nearest("embedding", PROBE, 10)
     return found.map("vec_id", distance=F.round(cosine_distance("embedding", PROBE), 6)).to_df()
 
@@ -408,12 +407,24 @@ def nearest_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.sort("vec_id").take(5).map("vec_id").to_df()
 
 
-@case("select vec_id from (select vec_id, case when vec_id % 3 = 0 then null when vec_id % 3 = 1 then 0 else 1 end as kind from embeddings where vec_id < 12) where kind = 1 union all select vec_id from (select vec_id from embeddings where vec_id < 12 and vec_id % 3 <> 2 order by vec_id limit 2)")
+@case("select vec_id, vec_id % 3 < 2 as last from embeddings")
 def nearest_degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 12")
+    """All vectors by distance: null and zero ones come after the others."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     zero = F.transform("embedding", lambda x: x * 0)
     spoilt = rows.withColumn("embedding", F.when(F.col("vec_id") % 3 == 0, None).when(F.col("vec_id") % 3 == 1, zero).otherwise(F.col("embedding")))
-    return query(spoilt, "vec_id").nearest("embedding", PROBE, 6).map("vec_id").to_df()
+    n = rows.count()
+    near = query(spoilt, "vec_id").nearest("embedding", PROBE, n).to_df()
+    distance = cosine_distance("embedding", PROBE)
+    return near.select("vec_id", (distance == float("inf")).alias("last"))
+
+
+@case(f"select vec_id, round({_DISTANCE}, 6) as distance from {_VECTORS} order by {_DISTANCE}, vec_id limit 10")
+def nearest_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of 768 dimensions, each the given one repeated: the distances stay."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("embedding", F.flatten(F.array_repeat("embedding", 12)))
+    found = query(rows, "vec_id").nearest("embedding", PROBE * 12, 10)
+    return found.map("vec_id", distance=F.round(cosine_distance("embedding", PROBE * 12), 6)).to_df()
 
 
 # -- search ----------------------------------------------------------------------------------------------------------
@@ -458,20 +469,21 @@ def search_tokens_with_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q(spark, sf_dir, "documents").map("doc_id", n=F.size(t.column(F.col("text"))).cast("bigint")).to_df()
 
 
-@case(f"select term, field, source_id, case when source_id % 10 = 1 then 'missing' else 'stale' end as problem from {_INDEX} where field = 'source' and (source_id % 10 = 1 or source_id % 10 = 2)")
+@case(f"select term, field, source_id, case when source_id % 10 = 1 then 'missing' else 'stale' end as problem from {_INDEX} where source_id % 10 = 1 or source_id % 10 = 2")
 def search_index_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    index = X.build_index(docs, "doc_id", ["source"])
+    index = X.build_index(docs, "doc_id", ["text", "source"])
     spoilt = index.where("source_id % 10 <> 1").withColumn("frequency", F.when(F.col("source_id") % 10 == 2, F.col("frequency") + 1).otherwise(F.col("frequency")))
-    return X.check_index(spoilt, docs, "doc_id", ["source"])
+    return X.check_index(spoilt, docs, "doc_id", ["text", "source"])
 
 
-@case(f"select term, field, source_id, frequency from {_INDEX} where field = 'source'")
+@case(f"select term, field, source_id, frequency from {_INDEX}")
 def search_index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     before = docs.withColumn("source", F.when(F.col("doc_id") % 4 == 0, "old words").otherwise(F.col("source")))
     changed = F.col("doc_id") % 4 == 0
-    return X.update_index(X.build_index(before, "doc_id", ["source"]), before.where(changed), docs.where(changed), "doc_id", ["source"])
+    fields = ["text", "source"]
+    return X.update_index(X.build_index(before, "doc_id", fields), before.where(changed), docs.where(changed), "doc_id", fields)
 
 
 # -- changes, views, live queries ------------------------------------------------------------------------------------
@@ -522,11 +534,11 @@ def soft_delete_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(stamped, "c_custkey", scopes=[field("deleted_at").is_null()]).map("c_custkey").to_df()
 
 
-@case(f"select cast(case _op when 'remove' then 0 when 'update' then 1 else 2 end as integer) as place, _op as op, '{{\"o_orderkey\":' || o_orderkey || '}}' as entity_key, timestamp '2024-01-01' as at from {_DIFF}")
+@case(f"select cast(case _op when 'remove' then 0 when 'update' then 1 else 2 end as integer) as place, _op as op, '{{\"o_orderkey\":' || o_orderkey || '}}' as entity_key, '{{\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\",\"o_totalprice\":' || o_totalprice || '}}' as content, timestamp '2024-01-01' as at from {_DIFF}")
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _old_and_new(spark, sf_dir)
     at = F.lit("2024-01-01").cast("timestamp_ntz")
-    return C.audit_rows(C.diff(old, new, ["o_orderkey"]), ["o_orderkey"], at).drop("content")
+    return C.audit_rows(C.diff(old, new, ["o_orderkey"]), ["o_orderkey"], at)
 
 
 @case("select o_orderkey, o_orderkey % 3 as __seen, o_orderkey % 4 as __version from orders where o_orderkey % 3 <> o_orderkey % 4 and o_orderkey % 2 = 0")
@@ -537,9 +549,9 @@ def version_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.conflicts(stored, updates, ["o_orderkey"])
 
 
-@case("select event_id from events where event_id % 10 = 0 and event_type = 'purchase' and value > 20")
+@case("select event_id from events where event_type = 'purchase' and value > 20")
 def live_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 10 = 0").withColumn("_op", F.lit("update"))
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("_op", F.lit("update"))
     return live.relevant(batch, (F.col("event_type") == "purchase") & (F.col("value") > 20)).select("event_id")
 
 
@@ -570,3 +582,96 @@ def wire_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def composer(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = Composer().where(field("o_totalprice") > 100000).sort("o_orderdate").skip(2).take(5)
     return q(spark, sf_dir, "orders").where(field("o_orderstatus") == "O").apply(page).map("o_orderkey").to_df()
+
+
+# -- schemas, sources and views over whole tables ----------------------------------------------------------------------
+
+def _orders() -> S.Schema:
+    return S.define(
+        "orders",
+        o_orderkey=S.number("long").key(),
+        status=S.string().stored_as("o_orderstatus"),
+        o_totalprice=S.number(),
+        o_orderpriority=S.string().serialize(lambda c: F.lower(c)).deserialize(lambda c: F.upper(c)),
+        cents=S.computed("long", lambda c: F.round(c["o_totalprice"] * 100)),
+    )
+
+
+@case("select o_orderkey, o_orderstatus as status, o_totalprice, upper(o_orderpriority) as o_orderpriority, cast(round(o_totalprice * 100) as bigint) as cents from orders")
+def schema_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.FileSource(spark, sf_dir).read(_orders())
+
+
+@case("select o_orderkey, o_orderstatus, o_totalprice, lower(o_orderpriority) as o_orderpriority from orders")
+def schema_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders().write(tables.MemorySource(spark, orders=spark.read.parquet(f"{sf_dir}/orders.parquet")).read(_orders()))
+
+
+@case("select o_orderstatus as status, o_totalprice, upper(o_orderpriority) as o_orderpriority from orders")
+def schema_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders().strip(schema_read(spark, sf_dir))
+
+
+@case("select o_orderkey, case when o_orderkey % 5 = 0 then null when o_orderkey % 5 = 1 then 'N' else o_orderstatus end as status, o_totalprice from orders")
+def update_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = schema_read(spark, sf_dir)
+    k = F.col("o_orderkey") % 5
+    changed = rows.where(k < 2).select("o_orderkey", F.when(k == 1, "N").alias("status"))
+    return _orders().merge(rows, changed).select("o_orderkey", "status", "o_totalprice")
+
+
+@case("select o_orderkey, o_orderkey % 2 = 0 as same from orders")
+def schema_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = schema_read(spark, sf_dir)
+    other = rows.withColumn("status", F.when(F.col("o_orderkey") % 2 == 0, F.col("status")).otherwise(F.concat("status", F.lit("!"))))
+    pairs = rows.select("o_orderkey", _orders().hash().alias("h"), _orders().content().alias("a")).join(other.select("o_orderkey", _orders().hash().alias("g"), _orders().content().alias("b")), "o_orderkey")
+    return pairs.select("o_orderkey", (F.col("a").eqNullSafe(F.col("b")) & (F.col("h") == F.col("g"))).alias("same"))
+
+
+@case("select count(*) as n, count(distinct number) as numbers, min(number) as first, max(number) as last, sum(case when state = 'new' then 1 else 0 end) as defaulted from (select row_number() over () + 100 as number, case when c_custkey % 2 = 0 then 'new' else 'old' end as state from customer)")
+def schema_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that the store gives, and defaults; which row gets which number is open."""
+    made = S.define("customers", number=S.number("long").key().identity(), name=S.string(), state=S.string().default("new"))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 1, "old").alias("state"))
+    found = made.enrich(rows, 100)
+    return found.agg(F.count("*").alias("n"), F.count_distinct("number").alias("numbers"), F.min("number").alias("first"), F.max("number").alias("last"), F.sum((F.col("state") == "new").cast("int")).alias("defaulted"))
+
+
+@case("select problem, rows from (select 'name is too long' as problem, count(*) as rows from customer where length(c_name) > 17 union all select 'segment has an unknown value', count(*) from customer where c_mktsegment not in ('BUILDING', 'MACHINERY') union all select 'nation is not unique', count(*) from (select c_nationkey from customer group by 1 having count(*) > 1)) where rows > 0")
+def schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = S.define("customer", id=S.number("long").key(), name=S.string(max_length=17), segment=S.string("BUILDING", "MACHINERY"), nation=S.number("int").distinct())
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    return rules.problems(rows)
+
+
+@case("select c_custkey from customer")
+def filter_tautology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q(spark, sf_dir, "customer").where(TRUE).map("c_custkey").to_df()
+
+
+@case("select c_custkey from customer where c_mktsegment = 'BUILDING' and c_acctbal >= 100")
+def filter_dynamic_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties named at run time, through the JSON form of a plan."""
+    wanted = {"c_mktsegment": "BUILDING"}
+    tests = [field(name) == value for name, value in wanted.items()]
+    kept = from_json(to_json(tests[0] & (field("c_acctbal") >= 100)))
+    return q(spark, sf_dir, "customer").where(kept).map("c_custkey").to_df()
+
+
+@case("select term, field, source_id, count(*) as frequency from (select doc_id as source_id, 'source' as field, unnest([source, 'x-' || source]) as term from documents) group by all")
+def search_custom_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tokenizer(custom=lambda s: [s, "x-" + s])
+    return X.build_index(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", ["source"], t)
+
+
+@case("select o_custkey, max(o_orderkey) as o_orderkey from orders group by o_custkey")
+def view_mirror_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of several derived rows of a key the last one is kept; here the derivation goes by order key."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey").orderBy("o_orderkey")
+    return C.mirror(rows.limit(0), rows, ["o_custkey"]).drop("_op")
+
+
+@case("select 'filter' as kind, 'scan' as place union all select 'sort', 'engine' union all select 'take', 'engine'")
+def explain_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = q(spark, sf_dir, "orders").where(field("o_orderstatus") == "F").sort("o_totalprice").take(3).explain()[1]
+    return spark.createDataFrame([(kind, place) for kind, place, _ in told.steps], "kind string, place string")

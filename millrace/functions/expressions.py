@@ -243,7 +243,7 @@ class Compiler:
             parts = [self.compile(p) for p in e.parts]
             return reduce((lambda a, b: a & b) if e.kind == "and" else (lambda a, b: a | b), parts)
         if isinstance(e, Opaque):
-            call = F.udf(lambda *a, f=e.function: bool(f(*a)), "boolean")(*[self.column(field(x)) for x in e.fields])
+            call = F.udf(lambda *a, f=e.function: bool(f(*a)), "boolean", useArrow=True)(*[self.column(field(x)) for x in e.fields])
             return ~call if e.negated else call
         assert isinstance(e, Compare)
         transform = self.transforms.get(".".join(e.left.path))

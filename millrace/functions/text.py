@@ -40,13 +40,22 @@ class Tokenizer:
             return {"none": [], "english": ENGLISH}[self.stop_words]
         return [w.lower() if self.lowercase else w for w in self.stop_words]
 
+    def raw_words(self, text: Column) -> Column:
+        """What lies between separators, before lengths and stop words; see ``passes`` and ``cut``."""
+        return F.split(F.lower(text) if self.lowercase else text, r"[^\p{L}\p{N}]+")
+
+    def cut(self, word: Column) -> Column:
+        return F.substring(word, 1, self.max_length)
+
+    def passes(self, word: Column) -> Column:
+        long = F.length(word) >= self.min_length
+        return long & ~self.cut(word).isin(self.stops) if self.stops else long
+
     def column(self, text: Column) -> Column:
         """The tokens in order, repeated ones too; null for a null text."""
         if self.custom:
-            return F.udf(lambda t, f=self.custom: None if t is None else [x[:CEILING] for x in f(t) if isinstance(x, str) and x], "array<string>")(text)
-        words = F.split(F.lower(text) if self.lowercase else text, r"[^\p{L}\p{N}]+")
-        words = F.transform(F.filter(words, lambda w: F.length(w) >= self.min_length), lambda w: F.substring(w, 1, self.max_length))
-        return F.filter(words, lambda w: ~w.isin(self.stops)) if self.stops else words
+            return F.udf(lambda t, f=self.custom: None if t is None else [x[:CEILING] for x in f(t) if isinstance(x, str) and x], "array<string>", useArrow=True)(text)
+        return F.transform(F.filter(self.raw_words(text), self.passes), self.cut)
 
     def terms(self, text: str) -> list[str]:
         """The different tokens of a query."""

@@ -36,8 +36,14 @@ def apply_diff(old: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def mirror(stored: DataFrame, derived: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = ()) -> DataFrame:
-    """A mirroring view's changes: the stored rows become the derivation, last of each key; rows it no longer has go."""
-    return diff(stored, latest(derived, keys, order) if order else derived.dropDuplicates(list(keys)), keys)
+    """A mirroring view's changes: the stored rows become the derivation, last of each key; rows it no longer has go.
+
+    Without an ``order`` the last is the last of the derivation's rows as they come.
+    """
+    if order:
+        return diff(stored, latest(derived, keys, order), keys)
+    numbered = derived.withColumn("__place", F.monotonically_increasing_id())
+    return diff(stored, latest(numbered, keys, ["__place"]).drop("__place"), keys)
 
 
 def version_key(df: DataFrame, columns: Sequence[str] | None = None) -> Column:

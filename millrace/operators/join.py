@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DoubleType, FloatType, NumericType, StringType, StructType
 
 from millrace.functions import expressions as E
-from millrace.operators.query import Query
+from millrace.operators.query import Query, _window
 
 
 @dataclass(frozen=True)
@@ -23,6 +23,7 @@ class JoinQuery:
     df: DataFrame
     keys: tuple[str, ...] = ()
     order: tuple[Column, ...] = ()
+    skipped: tuple[DataFrame, int] | None = None
 
     def _column(self, path: str | Column) -> Column:
         return F.col(path) if isinstance(path, str) else path
@@ -30,11 +31,11 @@ class JoinQuery:
     def where(self, predicate: E.Expr | Column, params: Mapping[str, Any] | None = None) -> JoinQuery:
         """A test of the pair: paths begin with ``outer.`` or ``inner.``; two sides may be compared with each other."""
         condition = predicate if isinstance(predicate, Column) else E.Compiler(self.df.schema, params).compile(predicate)
-        return replace(self, df=self.df.where(condition))
+        return replace(self, df=self.df.where(condition), skipped=None)
 
     def sort(self, by: str | Column, descending: bool = False) -> JoinQuery:
         c = self._column(by)
-        return replace(self, order=(c.desc_nulls_last() if descending else c.asc_nulls_first(), *self.order))
+        return replace(self, order=(c.desc_nulls_last() if descending else c.asc_nulls_first(), *self.order), skipped=None)
 
     def sort_descending(self, by: str | Column) -> JoinQuery:
         return self.sort(by, descending=True)
@@ -43,10 +44,15 @@ class JoinQuery:
         return self.df.orderBy(*self.order, *[F.col(k) for k in self.keys]) if self.order else self.df
 
     def skip(self, n: int) -> JoinQuery:
-        return replace(self, df=self.to_df().offset(n)) if n > 0 else self
+        if n <= 0:
+            return self
+        rows, before = self.skipped or (self.to_df(), 0)
+        return replace(self, df=rows.offset(before + n), skipped=(rows, before + n))
 
     def take(self, n: int) -> JoinQuery:
-        return replace(self, df=self.to_df().limit(n)) if n > 0 else self
+        if n <= 0:
+            return self
+        return replace(self, df=_window(*self.skipped, n) if self.skipped else self.to_df().limit(n), skipped=None)
 
     def map(self, **named: str | Column) -> DataFrame:
         return self.to_df().select(*[self._column(c).alias(n) for n, c in named.items()])

@@ -18,6 +18,15 @@ from pyspark.sql.types import ArrayType, NumericType
 from millrace.functions import expressions as E
 
 
+#: Dimensions of a vector up to which its sums are written out.
+WRITTEN_OUT = 96
+
+
+def _window(rows: DataFrame, skip: int, take: int) -> DataFrame:
+    """Ordered rows from ``skip`` on, ``take`` of them: each partition gives its first ones only, however many rows there are."""
+    return rows.limit(skip + take).offset(skip)
+
+
 @dataclass(frozen=True)
 class Query:
     df: DataFrame
@@ -26,11 +35,12 @@ class Query:
     steps: tuple[dict[str, Any], ...] = ()
     transforms: Mapping[str, Any] = field(default_factory=dict)
     dimensions: Mapping[str, int] = field(default_factory=dict)
+    skipped: tuple[DataFrame, int] | None = None
 
     # -- building ---------------------------------------------------------------------------------------------------
 
     def _next(self, step: dict[str, Any], **changes: Any) -> Query:
-        return replace(self, steps=(*self.steps, step), **changes)
+        return replace(self, steps=(*self.steps, step), **({"skipped": None} | changes))
 
     def column(self, what: str | E.Field | Column) -> Column:
         if isinstance(what, Column):
@@ -55,7 +65,7 @@ class Query:
         names = {*(c.split(".")[-1] for c in columns if isinstance(c, str)), *named}
         keys = self.keys if set(self.keys) <= names else ()
         # a projection after the sort keeps its order
-        return replace(ordered, df=ordered.df.select(*picked), keys=keys, order=(), steps=(*self.steps, {"kind": "map", "columns": [c for c in columns if isinstance(c, str)], "named": {n: c for n, c in named.items() if isinstance(c, str)}}))
+        return replace(ordered, df=ordered.df.select(*picked), keys=keys, order=(), skipped=None, steps=(*self.steps, {"kind": "map", "columns": [c for c in columns if isinstance(c, str)], "named": {n: c for n, c in named.items() if isinstance(c, str)}}))
 
     def sort(self, by: str | E.Field | Column, descending: bool = False) -> Query:
         """Nulls first ascending, last descending."""
@@ -72,16 +82,17 @@ class Query:
         return replace(self, df=self.df.orderBy(*self.order, *[F.col(f"`{k}`") for k in self.keys]))
 
     def skip(self, n: int) -> Query:
-        """Without effect for n of 0 or less."""
+        """Without effect for n of 0 or less. A take that follows at once makes one top-n of both."""
         if n <= 0:
             return self
-        return self._next({"kind": "skip", "n": n}, df=self._ordered().df.offset(n))
+        rows, before = self.skipped or (self._ordered().df, 0)
+        return self._next({"kind": "skip", "n": n}, df=rows.offset(before + n), skipped=(rows, before + n))
 
     def take(self, n: int) -> Query:
         """Without effect for n of 0 or less."""
         if n <= 0:
             return self
-        return self._next({"kind": "take", "n": n}, df=self._ordered().df.limit(n))
+        return self._next({"kind": "take", "n": n}, df=_window(*self.skipped, n) if self.skipped else self._ordered().df.limit(n))
 
     def nearest(self, prop: str, vector: Sequence[float], k: int) -> Query:
         """The k rows with the least cosine distance; null, zero and wrongly long vectors come last. See ``cosine_distance``."""
@@ -203,13 +214,18 @@ class Query:
 def cosine_distance(prop: str, vector: Sequence[float]) -> Column:
     """1 - cosine; infinite where the vector is null, holds a null, has another width or no length.
 
-    The sums are written out and parsed as one expression: they stay in generated code, where higher-order functions would not.
+    Up to ``WRITTEN_OUT`` dimensions the sums are written out and parsed as one expression: they stay in generated code, where
+    higher-order functions would not. Wider vectors take those, with the same order of additions; their code doesn't grow.
     """
     given = [float(x) for x in vector]
     norm = sum(x * x for x in given) ** 0.5
     if not norm:
         return F.lit(float("inf"))
     name = ".".join(f"`{x}`" for x in prop.split("."))
+    if len(given) > WRITTEN_OUT:
+        values = f"array({', '.join(f'{x!r}D' for x in given)})"
+        dot, square = (f"aggregate(zip_with({name}, {other}, (x, y) -> double(x) * double(y)), 0D, (a, x) -> a + x)" for other in (values, name))
+        return F.expr(f"coalesce(case when size({name}) = {len(given)} and {square} > 0 then 1 - {dot} / (sqrt({square}) * {norm!r}D) end, double('infinity'))")
     part = [f"double(get({name}, {i}))" for i in range(len(given))]
     dot = " + ".join(f"{p} * {x!r}D" for p, x in zip(part, given, strict=True))
     square = " + ".join(f"{p} * {p}" for p in part)

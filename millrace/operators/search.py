@@ -21,7 +21,12 @@ def build_index(docs: DataFrame, key: str, fields: Sequence[str], tokenizer: Tok
         raise ValueError("no field is searchable")
     t = tokenizer or Tokenizer()
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("text")) for f in fields]))
-    each = docs.select(F.col(f"`{key}`").alias("source_id"), pairs.alias("p")).select("source_id", "p.field", F.explode(t.column(F.col("p.text"))).alias("term"))
+    texts = docs.select(F.col(f"`{key}`").alias("source_id"), pairs.alias("p")).select("source_id", "p.field", "p.text")
+    if t.custom:
+        each = texts.select("source_id", "field", F.explode(t.column(F.col("text"))).alias("term"))
+    else:  # words are rows before they are tested: in generated code, not in functions of arrays
+        words = texts.select("source_id", "field", F.explode(t.raw_words(F.col("text"))).alias("word"))
+        each = words.where(t.passes(F.col("word"))).select("source_id", "field", t.cut(F.col("word")).alias("term"))
     return each.groupBy("term", "field", "source_id").agg(F.count("*").alias("frequency"))
 
 

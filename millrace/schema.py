@@ -228,8 +228,8 @@ class Schema:
 
         return entities.select(*[one(p) for p in self.stored])
 
-    def enrich(self, entities: DataFrame, start: int = 0) -> DataFrame:
-        """Missing columns added, defaults for null, store-assigned identities (uuid, or numbers after ``start``), computed columns."""
+    def enrich(self, entities: DataFrame, start: int | dict[str, int] = 0) -> DataFrame:
+        """Missing columns added, defaults for null, store-assigned identities (uuid, or numbers after ``start``, which may be by property), computed columns."""
         df = entities
         for p in self.properties:
             if p.name not in df.columns:
@@ -241,7 +241,7 @@ class Schema:
                 if isinstance(p.dtype, T.StringType):
                     df = df.withColumn(p.name, F.coalesce(F.col(f"`{p.name}`"), F.expr("uuid()")))
                 else:
-                    df = _numbered(df, p.name, p.dtype, start)
+                    df = _numbered(df, p.name, p.dtype, start.get(p.name, 0) if isinstance(start, dict) else start)
         return self._computed(df, tracked=True).select(*self.columns)
 
     def strip(self, entities: DataFrame) -> DataFrame:
@@ -256,11 +256,11 @@ class Schema:
         return F.sha2(F.to_json(self.content(prefix), {"ignoreNullFields": "false"}), 256)
 
     def merge(self, old: DataFrame, changes: DataFrame) -> DataFrame:
-        """``old`` with the columns of ``changes``, where these aren't null, by key; then defaults."""
+        """``old`` with the columns of ``changes``, nulls included, by key; then defaults."""
         own = [c for c in changes.columns if c not in self.keys]
         new = changes.select(*self.keys, *[F.col(f"`{c}`").alias(f"__{c}") for c in own], F.lit(True).alias("__hit"))
         joined = old.join(new, self.keys, "left")
-        merged = joined.select(*[F.coalesce(F.col(f"`__{c}`"), F.col(f"`{c}`")).alias(c) if c in own else F.col(f"`{c}`") for c in self.columns])
+        merged = joined.select(*[F.when(F.col("__hit"), F.col(f"`__{c}`")).otherwise(F.col(f"`{c}`")).alias(c) if c in own else F.col(f"`{c}`") for c in self.columns])
         return self.enrich(merged)
 
     def problems(self, entities: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """A store of collections on plain parquet: staged changes, one atomic commit, versions, soft deletion and audit.
 
-Each commit writes new folders for the collections it changes, then replaces one manifest that names the current folder of
-every collection. Readers see the old or the new state, never a mix; a failed commit leaves only folders that nothing names.
+Each commit writes new folders for the collections it changes, then publishes one numbered manifest that names the current
+folder of every collection. Readers see the old or the new state, never a mix; a failed commit leaves only folders that nothing names.
 The manifest goes through Hadoop's file system API, so the root may be on any store that Spark reads.
 """
 
@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,8 +57,8 @@ class Files:
     """A few operations of Hadoop's file system."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.jvm, self.root = spark._jvm, root.rstrip("/")
-        self.fs = self.jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.jvm, self.root, self.conf, self.gateway = spark._jvm, root.rstrip("/"), spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
+        self.fs = self.jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.conf)
 
     def path(self, name: str) -> Any:
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -71,15 +72,34 @@ class Files:
         finally:
             stream.close()
 
-    def replace(self, name: str, text: str) -> None:
-        part = f".{name}.{uuid.uuid4().hex}"
-        stream = self.fs.create(self.path(part), True)
+    def latest(self, name: str) -> tuple[int, str | None]:
+        """The greatest number that was published under the name, and its text; 0 and none if there is none."""
+        found = self.fs.globStatus(self.path(f"{name}-*.json")) or []
+        numbers = [int(f.getPath().getName()[len(name) + 1 : -5]) for f in found]
+        return (max(numbers), self.read(f"{name}-{max(numbers):012d}.json")) if numbers else (0, None)
+
+    def publish(self, name: str, number: int, text: str) -> bool:
+        """Write the text whole under a number that nobody has published; false if someone was first.
+
+        The file is written apart and then renamed to where nothing may be yet, which file systems do in one step: readers see
+        all of it or the one before, whatever fails in between.
+        """
+        part, target = self.path(f".{name}.{uuid.uuid4().hex}"), self.path(f"{name}-{number:012d}.json")
+        stream = self.fs.create(part, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if self.fs.exists(self.path(name)):
-            self.fs.delete(self.path(name), False)
-        if not self.fs.rename(self.path(part), self.path(name)):
-            raise OSError(f"{name} could not be replaced")
+        hadoop = self.jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(target.getFileSystem(self.conf).getUri(), self.conf)
+        options = self.gateway.new_array(getattr(self.jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+        options[0] = getattr(self.jvm, "org.apache.hadoop.fs.Options$Rename").valueOf("NONE")
+        try:
+            context.rename(part, target, options)
+        except Py4JJavaError as e:
+            self.fs.delete(part, False)
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
 
 
 class DataStore:
@@ -93,8 +113,8 @@ class DataStore:
     # -- reading -----------------------------------------------------------------------------------------------------
 
     def _manifest(self) -> dict[str, Any]:
-        # the newest of the numbered manifests counts; the numbers make a replacement atomic
-        text = self.files.read("manifest.json")
+        # the newest of the numbered manifests counts
+        text = self.files.latest("manifest")[1]
         return json.loads(text) if text else {"commit": 0, "folders": {}}
 
     def stored(self, name: str) -> DataFrame:
@@ -167,7 +187,8 @@ class DataStore:
                 bad = C.conflicts(self.entities(name, versions=True), updates, keys).limit(100).collect()
                 if bad:
                     raise ConcurrencyError(name, [tuple(r[k] for k in keys) for r in bad])
-            now = schema.merge(now, updates.drop(VERSION))
+            for part in s.updates:  # each with its own columns: a null in one of them is a value
+                now = schema.merge(now, part.drop(VERSION))
             touched = updates.select(*keys)
         if removes is not None:
             if c.soft_delete:
@@ -177,11 +198,9 @@ class DataStore:
             else:
                 now = now.join(removes.select(*keys).distinct(), keys, "left_anti").select(*schema.columns)
         if adds is not None:
-            start = 0
-            numbers = [p for p in schema.properties if p.is_identity and p.dtype.typeName() != "string"]
-            if numbers:
-                start = self.entities(name).agg(F.max(numbers[0].name)).first()[0] or 0
-            now = now.unionByName(schema.enrich(adds, int(start)))
+            numbers = [p.name for p in schema.properties if p.is_identity and p.dtype.typeName() != "string"]
+            most = self.entities(name).agg(*[F.max(F.col(f"`{n}`")) for n in numbers]).first() if numbers else ()
+            now = now.unionByName(schema.enrich(adds, {n: int(m or 0) for n, m in zip(numbers, most, strict=True)}))
         return now, touched
 
     # -- saving ------------------------------------------------------------------------------------------------------
@@ -226,9 +245,8 @@ class DataStore:
                 rows = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{old}").unionByName(rows)
             rows.write.parquet(f"{self.root}/{folder}")
             folders[audit] = folder
-        if self._manifest()["commit"] != manifest["commit"]:
+        if not self.files.publish("manifest", number, json.dumps({"commit": number, "folders": folders})):
             raise ConcurrencyError("store", [number])
-        self.files.replace("manifest.json", json.dumps({"commit": number, "folders": folders}))
         self.staged.clear()
         for listener in self.listeners:
             listener(done)
@@ -247,7 +265,7 @@ class View:
         self.files = store.files
 
     def read(self) -> DataFrame | None:
-        text = self.files.read(f"view-{self.name}.json")
+        text = self.files.latest(f"view-{self.name}")[1]
         return self.store.spark.read.parquet(f"{self.store.root}/{json.loads(text)['folder']}") if text else None
 
     def compute(self) -> DataFrame:
@@ -263,12 +281,17 @@ class View:
             after = stored.unionByName(changes)
         folder = f"view-{self.name}/{uuid.uuid4().hex}"
         after.write.parquet(f"{self.store.root}/{folder}")
-        self.files.replace(f"view-{self.name}.json", json.dumps({"folder": folder}))
+        self._publish(folder)
         return changes
 
+    def _publish(self, folder: str) -> None:
+        number = self.files.latest(f"view-{self.name}")[0] + 1
+        if not self.files.publish(f"view-{self.name}", number, json.dumps({"folder": folder})):
+            raise ConcurrencyError(f"view {self.name}", [number])
+
     def empty(self) -> None:
         old = self.read()
         if old is not None:
             folder = f"view-{self.name}/{uuid.uuid4().hex}"
             old.limit(0).write.parquet(f"{self.store.root}/{folder}")
-            self.files.replace(f"view-{self.name}.json", json.dumps({"folder": folder}))
+            self._publish(folder)

@@ -125,3 +125,42 @@ def test_vectors_of_fixture(spark):
     assert names[:2] == ["x", "xy"] and set(names[-2:]) == {"o", "null"}
     assert q.nearest("e", [1, 0, 0], 0).count() == 0
     assert [r.id for r in q.where(field("id") != "x").nearest("e", [1, 0, 0], 3).take(1).collect()] == ["xy"]
+
+
+def test_updates_to_null_and_back(spark, tmp_path):
+    store = DataStore(spark, f"file://{tmp_path}", Collection(PRODUCTS, soft_delete="deleted"))
+    store.add("products", rows(spark, ("a", "x", 1.0, "1"), ("b", "y", 2.0, "2")))
+    store.save()
+    store.remove("products", store.query("products").where(field("id") == "a"))
+    store.update("products", spark.createDataFrame([("b", None)], "id string, sku string"))
+    store.save()
+    assert [(r.id, r.sku, r.price) for r in store.query("products").collect()] == [("b", None, 2.0)]
+    store.update("products", spark.createDataFrame([("a", None)], "id string, deleted boolean"))
+    store.save()
+    assert store.query("products").count() == 2
+
+
+def test_manifests(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    one, two = (DataStore(spark, root, Collection(PRODUCTS)) for _ in range(2))
+    one.add("products", rows(spark, ("a", "x", 1.0, "1")))
+    one.save()
+    assert [p.name for p in tmp_path.glob("manifest-*.json")] == ["manifest-000000000001.json"]
+    # another writer publishes the next commit in between: nothing of this save shows
+    one.add("products", rows(spark, ("b", "y", 1.0, "2")))
+    seen = two._manifest()
+    assert two.files.publish("manifest", 2, __import__("json").dumps(seen | {"commit": 2}))
+    one._manifest = lambda: seen
+    with pytest.raises(ConcurrencyError):
+        one.save()
+    assert two.query("products").count() == 1
+    # what a killed writer leaves behind names nothing
+    (tmp_path / ".manifest.left").write_text("{")
+    assert two._manifest()["commit"] == 2 and not two.files.publish("manifest", 2, "{}")
+
+
+def test_mirror_keeps_the_last(spark):
+    from millrace.operators import changes as C
+
+    derived = spark.createDataFrame([(1, "a"), (2, "x"), (1, "b"), (1, "c")], "k long, v string").coalesce(1)
+    assert sorted((r.k, r.v) for r in C.mirror(derived.limit(0), derived, ["k"]).collect()) == [(1, "c"), (2, "x")]
