@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,15 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def carried(columns: Sequence[str]) -> Column:
+    """The caller's columns as one struct, in which no name of theirs can clash with an operator's; see ``unpacked``."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(0).alias("none"))
+
+
+def unpacked(row: str, columns: Sequence[str]) -> list[Column]:
+    return [F.col(row).getField(c).alias(c) for c in columns]
+
+
 def text_of(column: str) -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

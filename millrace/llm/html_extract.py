@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import carried, unpacked
+
 #: Element names with a role here, and words of class or id that mark what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -216,8 +218,8 @@ def extract_main_text(pages: DataFrame, html: str = "html", threshold: float = 0
     column of ``pages`` that is already called ``main_text`` or ``main_chars`` is replaced.
     """
     kept = [c for c in pages.columns if c not in (html, "main_text", "main_chars")]
-    source = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html}`").cast("string").alias("__html"))
-    schema = source.drop("__html").withColumns({"main_text": F.lit("").cast("string"), "main_chars": F.lit(0).cast("bigint")}).schema
+    source = pages.select(carried(kept).alias("row"), F.col(f"`{html}`").cast("string").alias("html"))
+    schema = source.drop("html").withColumns({"main_text": F.lit("").cast("string"), "main_chars": F.lit(0).cast("bigint")}).schema
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,4 +227,4 @@ def extract_main_text(pages: DataFrame, html: str = "html", threshold: float = 0
             columns = [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "main_text", "main_chars"])
 
-    return source.mapInArrow(extract, schema)
+    return source.mapInArrow(extract, schema).select(*unpacked("row", kept), "main_text", "main_chars")

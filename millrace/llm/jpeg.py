@@ -7,8 +7,17 @@ that such frames are coded and decoded without a loop over samples.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
+#: Fixed values of T.81, K.3, for luminance and chrominance: codes of each length, and the first symbols of the AC tables.
+_DC_LENGTHS = (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]))
+_AC_LENGTHS = (bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125]), bytes([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119]))
+_AC_FIRST = (
+    "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82",
+    "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1",
+)
 _SIZES = np.arange(8, -1, -1, dtype=np.uint8)  # categories in the order of their code lengths 1 to 9
 _DHT = b"\xff\xc4\x00\x1c\x00" + bytes([1] * 9 + [0] * 7) + _SIZES.tobytes()
 
@@ -106,12 +115,34 @@ _K = np.arange(8)
 _COS = np.cos((2 * _K[:, None] + 1) * _K[None, :] * np.pi / 16) * np.where(_K == 0, np.sqrt(0.125), 0.5)
 
 
+@cache
+def _standard() -> dict[int, dict[tuple[int, int], int]]:
+    """The tables of T.81, K.3, which Motion JPEG frames leave out: the common run and size pairs first, the others in order."""
+    codes = {}
+    for kind, (dc, ac, first) in enumerate(zip(_DC_LENGTHS, _AC_LENGTHS, _AC_FIRST, strict=True)):
+        symbols = bytes.fromhex(first)
+        rest = bytes(run << 4 | size for run in range(16) for size in range(1, 11) if run << 4 | size not in symbols)
+        codes[kind], codes[0x10 | kind] = _huffman(dc, bytes(range(12))), _huffman(ac, symbols + rest)
+    return codes
+
+
 def decode(data: bytes) -> np.ndarray:
-    """The frame's samples: height x width, or height x width x components (as coded, no colour conversion)."""
+    """The frame's samples: height x width, or height x width x components (as coded, no colour conversion).
+
+    A frame without Huffman tables has the standard ones. Damaged frames, and those whose scan can't hold their size, are a
+    ``ValueError``.
+    """
+    try:
+        return _decode(data)
+    except (IndexError, KeyError, ZeroDivisionError, OverflowError, MemoryError) as e:
+        raise ValueError(f"the frame is damaged: {e!r}") from e
+
+
+def _decode(data: bytes) -> np.ndarray:
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
     quant: dict[int, np.ndarray] = {}
-    codes: dict[int, dict[tuple[int, int], int]] = {}
+    codes = dict(_standard())
     raw: dict[int, bytes] = {}
     at, kind, height, width, restart = 2, 0, 0, 0, 0
     parts: list[tuple[int, int, int, int]] = []
@@ -147,8 +178,12 @@ def decode(data: bytes) -> np.ndarray:
             chosen = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
             end = data.rfind(b"\xff\xd9", at)
             scan = data[at : end if end >= 0 else len(data)]
+            if not height or not width or not parts or any(not 1 <= h <= 4 or not 1 <= v <= 4 for _, h, v, _ in parts):
+                raise ValueError("the frame has no size or a wrong sampling factor")
+            if height * width > 8 * len(scan) * (1 if kind == 0xC3 else 32):  # a sample or a block takes a bit or two at least
+                raise ValueError("the frame's scan is too short for its size")
             if kind == 0xC3:
-                return _lossless(scan, height, width, body[1 + 2 * body[0]], codes[chosen[0][1] >> 4], raw[chosen[0][1] >> 4])
+                return _lossless(scan, height, width, body[1 + 2 * body[0]], codes[chosen[0][1] >> 4], raw.get(chosen[0][1] >> 4, b""))
             return _baseline(scan, height, width, parts, dict(chosen), quant, codes, restart)
     raise ValueError("the frame has no scan")
 
@@ -190,7 +225,10 @@ def _baseline(scan: bytes, height: int, width: int, parts: list, chosen: dict, q
     bits, before = _Bits(next(pieces)), [0] * len(parts)
     for unit in range(across * down):
         if restart and unit and unit % restart == 0:
-            bits, before = _Bits(next(pieces)), [0] * len(parts)
+            piece = next(pieces, None)
+            if piece is None:
+                raise ValueError("a restart marker is missing")
+            bits, before = _Bits(piece), [0] * len(parts)
         for i, (name, h, v, q) in enumerate(parts):
             dc, ac = codes[chosen[name] >> 4], codes[0x10 | chosen[name] & 15]
             for sub in range(h * v):

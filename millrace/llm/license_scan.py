@@ -19,6 +19,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import carried, unpacked
+
 
 class Rule(NamedTuple):
     label: str
@@ -151,6 +153,8 @@ GATE = ["licen", "right", "rechte", "droits", "derechos", "cc", "bsd", "gpl", "c
 CONFIDENCE = {1: 0.98, 2: 0.95, 3: 0.8, 4: 0.5, 5: 0.4}
 #: What ends a word: all ASCII but digits and letters.
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What no word holds.
+_MARK = "\x01"
 _PLACES = "array<struct<first:int,after:int,priority:int,label:string>>"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -165,20 +169,17 @@ def _spaces(c: Column) -> Column:
 
 
 def _places(line: Column, pattern: Column, label: Column, priority: Column) -> Column:
-    """The places of a pattern in a line of words, from left to right: first word, word after the last, priority, label."""
-    whole = F.concat(F.lit(" (?:"), pattern, F.lit(")(?= )"))
-    # every word has its space before it, so the spaces of what lies between matches count its words
-    pairs = F.zip_with(F.split(line, whole), F.call_function("regexp_extract_all", line, whole, F.lit(0)), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    kind = f"struct<at:int,found:{_PLACES}>"
-
-    def add(state: Column, x: Column) -> Column:
-        first = state["at"] + _spaces(x["gap"])
-        after = first + _spaces(x["hit"])
-        one = F.struct(first.alias("first"), after.alias("after"), priority.alias("priority"), label.alias("label"))
-        # behind the last match there is a gap without one
-        return F.when(x["hit"].isNull(), state).otherwise(F.struct(after.alias("at"), F.concat(state["found"], F.array(one)).alias("found")).cast(kind))
+    """The places of a pattern in a line of words, from left to right: first word, word after the last, priority, label.
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_PLACES).alias("found")).cast(kind), add)["found"]
+    The first word of each match gets a mark that no word holds; the marked words' numbers are the matches' places. All steps
+    are linear in the line's length.
+    """
+    whole = F.concat(F.lit(" (?:"), pattern, F.lit(")(?= )"))
+    marked = F.split(F.regexp_replace(line, F.concat(F.lit(" ((?:"), pattern, F.lit(")(?= ))")), F.lit(f" {_MARK}$1")), " ")
+    # the line begins with a line feed and a space: its first word has number 1 after the split
+    numbers = F.filter(F.transform(marked, lambda w, i: F.when(F.startswith(w, F.lit(_MARK)), i - 1)), lambda i: i.isNotNull())
+    hits = F.call_function("regexp_extract_all", line, whole, F.lit(0))
+    return F.zip_with(numbers, hits, lambda i, hit: F.struct(i.alias("first"), (i + _spaces(hit)).alias("after"), priority.alias("priority"), label.alias("label"))).cast(_PLACES)
 
 
 def _rule_array(rules: Sequence[Rule]) -> Column:
@@ -198,15 +199,15 @@ def scan_licenses(docs: DataFrame, text: str = "text", rules: Sequence[Rule] | N
     new = ("n_words", "base", "found")
     kept = [c for c in docs.columns if c != text and c not in new]
     none = F.array().cast(_PLACES)
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
-    counted = source.withColumn("n_words", F.regexp_count("__text", F.lit(_WORD)).cast("bigint"))
-    folded = counted.withColumn("__low", F.lower("__text"))
-    gate = reduce(or_, [F.contains(F.col("__low"), F.lit(k)) for k in GATE])
-    lined = folded.withColumn("__line", F.when(gate, words_line(F.col("__text")))).drop("__text", "__low")
-    line = F.col("__line")
+    source = docs.select(carried(kept).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    counted = source.withColumn("n_words", F.regexp_count("text", F.lit(_WORD)).cast("bigint"))
+    folded = counted.withColumn("low", F.lower("text"))
+    gate = reduce(or_, [F.contains(F.col("low"), F.lit(k)) for k in GATE])
+    lined = folded.withColumn("line", F.when(gate, words_line(F.col("text")))).drop("text", "low")
+    line = F.col("line")
     base = F.concat(*[F.when(F.contains(line, F.lit(f" {phrase} ")), _places(line, F.lit(phrase), F.lit(label), F.lit(0))).otherwise(none) for label, phrase, _ in BASE])
     every = F.flatten(F.transform(_rule_array(rules), lambda r: F.when(F.contains(line, F.concat(F.lit(" "), r["keyword"])) & F.contains(line, F.concat(F.lit(" "), r["cue"])), _places(line, r["pattern"], r["label"], r["priority"])).otherwise(none)))
-    placed = lined.select(*[F.col(f"`{c}`") for c in kept], "n_words", F.when(line.isNotNull(), base).otherwise(none).alias("base"), F.when(line.isNotNull(), F.array_sort(F.array_distinct(every))).otherwise(none).alias("__all"))
+    placed = lined.select("row", "n_words", F.when(line.isNotNull(), base).otherwise(none).alias("base"), F.when(line.isNotNull(), F.array_sort(F.array_distinct(every))).otherwise(none).alias("every"))
 
     def covered(m: Column) -> Column:
         def by(x: Column) -> Column:
@@ -214,9 +215,10 @@ def scan_licenses(docs: DataFrame, text: str = "text", rules: Sequence[Rule] | N
             longer = (x["after"] - x["first"]) > (m["after"] - m["first"])
             return inside & ((x["priority"] < m["priority"]) | ((x["priority"] == m["priority"]) & longer))
 
-        return F.exists(F.col("__all"), by)
+        return F.exists(F.col("every"), by)
 
-    return placed.withColumn("found", F.filter("__all", lambda m: ~covered(m))).drop("__all")
+    out = placed.withColumn("found", F.filter("every", lambda m: ~covered(m)))
+    return out.select(*unpacked("row", kept), *new)
 
 
 def summarize(scanned: DataFrame) -> DataFrame:

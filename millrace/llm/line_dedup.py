@@ -29,7 +29,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, release
+from millrace.llm.common import carried, materialize, release, unpacked
 from millrace.llm.graph import components
 
 SHINGLE, BANDS, ROWS, BLANKS = 12, 7, 2, " \t\r\u00a0"
@@ -189,8 +189,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     own = [c for c in docs.columns if c not in (text, *new)]
     # the caller's columns go along as one, so that no name of theirs can clash with one of these
-    row = F.struct(*[F.col(f"`{c}`") for c in own], F.lit(0))
-    rows = docs.select(row.alias("row"), F.col(f"`{key}`").alias("doc"), F.xxhash64(whole).alias("hash"), whole.alias("text"))
+    rows = docs.select(carried(own).alias("row"), F.col(f"`{key}`").alias("doc"), F.xxhash64(whole).alias("hash"), whole.alias("text"))
     feeds = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     rows = rows.withColumn("n_lines", feeds + 1)
     if not with_text:
@@ -202,4 +201,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
         out = out.withColumn("all_lines", F.split("text", "\n")).withColumn("stays", F.array_join(F.transform("stay", lambda i: F.get("all_lines", i)), "\n"))
     new_columns = {text: "stays", "n_lines": "n_lines", "n_kept": "n_stay"} if with_text else {"n_lines": "n_lines", "n_kept": "n_stay", "kept_lines": "stay"}
     out = out.select("row", F.struct(*[F.col(c).alias(n) for n, c in new_columns.items()]).alias("new"))
-    return out.select(*[F.col("row").getField(c).alias(c) for c in own], *[F.col("new").getField(n).alias(n) for n in new_columns])
+    return out.select(*unpacked("row", own), *unpacked("new", list(new_columns)))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import jpeg
+from millrace.llm.common import carried, unpacked
 
 #: Samples in a row and rows in a frame of stored texts; frames in a second.
 WIDTH, ROWS, FPS = 64, 64, 25
@@ -52,7 +53,14 @@ def _walk(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]
 
 
 def read_frames(data: bytes) -> tuple[float, list[np.ndarray]]:
-    """Frames per second, and the decoded frames of the first video stream."""
+    """Frames per second, and the decoded frames of the first video stream. Whatever is damaged is a ``ValueError``."""
+    try:
+        return _read_frames(data)
+    except (KeyError, IndexError, struct.error) as e:
+        raise ValueError(f"the file is damaged: {e!r}") from e
+
+
+def _read_frames(data: bytes) -> tuple[float, list[np.ndarray]]:
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     fps, movi, index, streams, video = float(FPS), None, b"", 0, 0
@@ -140,15 +148,16 @@ def text_as_media(docs: DataFrame, text: str = "text", keep_media: bool = False)
 
     A text is taken whole, as UTF-8, null as empty, and zeros are appended up to a positive multiple of 64 bytes. The digest
     of the payload and the features come from the frames read back. Equal texts give equal values; rows are independent, so
-    repeated rows, null ids and an empty table need no care. Columns with the names of the new ones are replaced.
+    repeated rows, null ids and an empty table need no care. Columns with the names of the new ones are replaced. A text and
+    its file are held whole, one document at a time.
     """
     new = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
     if keep_media:
         new["media"] = pa.binary()
     kinds = {pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary"}
     kept = [c for c in docs.columns if c != text and c not in new]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
-    schema = source.drop("__text").withColumns({c: F.lit(None).cast(kinds[t]) for c, t in new.items()}).schema
+    source = docs.select(carried(kept).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    schema = source.drop("text").withColumns({c: F.lit(None).cast(kinds[t]) for c, t in new.items()}).schema
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +172,7 @@ def text_as_media(docs: DataFrame, text: str = "text", keep_media: bool = False)
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(new.values())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *new])
 
-    return source.mapInArrow(convert, schema)
+    return source.mapInArrow(convert, schema).select(*unpacked("row", kept), *new)
 
 
 def media_clips(files: DataFrame, key: str, media: str = "media") -> DataFrame:
@@ -186,7 +195,7 @@ def media_clips(files: DataFrame, key: str, media: str = "media") -> DataFrame:
                         taken.append(i)
                     if not frames:
                         raise ValueError("the file has no frames")
-                except (ValueError, KeyError, IndexError, struct.error) as e:
+                except ValueError as e:
                     rows.append((*[None] * 7, str(e)))
                     taken.append(i)
             kinds = [pa.int32()] * 3 + [pa.float64()] * 2 + [pa.int32()] * 2 + [pa.string()]

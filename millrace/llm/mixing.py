@@ -16,6 +16,7 @@ when the gradient is ``EXACT``, and raises an error if it can't get there.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 from functools import reduce
 
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import carried, materialize, unpacked
 
 #: Documents that the classifier is fitted on, features that it keeps, and documents that a feature must be in.
 SAMPLE, FEATURES, LEAST = 6000, 512, 8
@@ -31,6 +32,8 @@ SAMPLE, FEATURES, LEAST = 6000, 512, 8
 SURE, POOLED = 12.0, 30.0
 #: Weight of the rates' distance from 1 against the totals', and the gradient that counts as none, as a part of the smallest target.
 NEAR, EXACT = 1e-7, 1e-6
+#: Part of its target that a domain's total may miss without a warning.
+NEARLY = 0.02
 
 
 def _sum(columns: list[Column]) -> Column:
@@ -57,8 +60,8 @@ def weights(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str,
     marked = labelled.where(F.col("domain").isin(domains) & F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("doc")).agg(F.min("domain").alias("domain"))
     every_one = marked.withColumn("h", F.xxhash64(F.col("doc").cast("string"))).orderBy("h", "doc").limit(sample)
     some, rest = every_one.where("pmod(h, 3) > 0").drop("h"), every_one.where("pmod(h, 3) = 0").drop("h")
-    own = docs.withColumnRenamed(key, "doc").join(F.broadcast(some), "doc")
-    seen = materialize(_features(own, "doc", text).distinct().join(F.broadcast(some), "doc"), "features")
+    own = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text")).join(F.broadcast(some.select("doc")), "doc")
+    seen = materialize(_features(own, "doc", "text").distinct().join(F.broadcast(some), "doc"), "features")
     counted = seen.groupBy("domain").agg(F.count_distinct("doc", "hash").alias("n"), F.count("*").alias("all")).collect()
     sizes = {r.domain: r.n for r in counted}
     # features of all documents of a domain: their number, not the documents', keeps long documents from looking likelier
@@ -171,7 +174,8 @@ def mix(
     ``labelled`` has ``key`` and ``domain``; ``targets`` gives the domains and their weights, which are scaled to a sum of 1.
     The budget is the documents' own number of words, or, with an ``anchor``, what gives that domain ``headroom`` times its
     own words. ``bounds`` are those of the rates; ``steps`` is how many aggregations the fit may take before it raises an error.
-    ``copies`` is the rate rounded up or down by a hash of the document, so its expectation is the rate.
+    ``copies`` is the rate rounded up or down by a hash of the document, so its expectation is the rate. Totals that no rates
+    between the bounds can bring within ``NEARLY`` of their targets are told in a warning, with the shares that are reached.
 
     Rows with equal ``key`` and text are one document whose words count as often as it has rows; null texts count as empty,
     null keys are allowed. A document without words has no bearing on the totals and follows its posterior (the prior). Labels
@@ -206,6 +210,11 @@ def mix(
         return now["v"] / n, [now[f"t{i}"] / n for i in k], [[now[f"a{min(i, j)}_{max(i, j)}"] / n for j in k] for i in k]
 
     factors = fit(sums, [s * budget / n for s in share], steps) if n else [0.0 for _ in k]
+    if n:
+        reached = [t * n / budget for t in sums(factors)[1]]
+        if any(abs(r - s) > NEARLY * s for r, s in zip(reached, share, strict=True)):
+            told = ", ".join(f"{d} {r:.4f} of {s:.4f}" for d, r, s in zip(domains, reached, share, strict=True))
+            warnings.warn(f"the domains' totals, as parts of the budget, miss their targets: {told}", stacklevel=2)
     out = table.withColumn("rate", cut(free_rate(factors)))
     uniform = F.pmod(F.xxhash64("hash", F.col("doc").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = (F.floor("rate") + F.when(uniform < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
@@ -214,10 +223,10 @@ def mix(
 
 def apply_copies(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as ``mixed`` says for its ``key`` and text; one without an entry goes."""
-    left = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
-    right = mixed.where("copies > 0").select(F.col(f"`{key}`").alias("__doc"), F.col("text_hash").alias("__text_hash"), F.col("copies").alias("__copies"))
-    joined = left.join(right, left[key].eqNullSafe(right["__doc"]) & (left["__hash"] == right["__text_hash"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = docs.select(carried(docs.columns).alias("row"), F.col(f"`{key}`").alias("doc"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("hash"))
+    right = mixed.where("copies > 0").select(F.col(f"`{key}`").alias("doc"), F.col("text_hash").alias("hash"), "copies")
+    joined = left.join(right, left["doc"].eqNullSafe(right["doc"]) & (left["hash"] == right["hash"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select(*unpacked("row", docs.columns))
 
 
 def domains_of_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, release
+from millrace.llm.common import carried, materialize, release, unpacked
 from millrace.llm.graph import components
 
 WORDS, TOKENS, RUNS = 5, 64, 12
@@ -442,10 +442,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     stay = first.withColumn("once", F.lit(True)).union(empty.withColumn("once", F.lit(False)))
     # the caller's columns go along as one, so that no name of theirs can clash with one of these
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{key}`").alias("doc"), F.xxhash64(whole).alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(F.col(f"`{key}`").alias("doc"), F.xxhash64(whole).alias("hash"), carried(docs.columns).alias("row"))
     kept = rows.join(stay, rows["doc"].eqNullSafe(stay["doc"]) & (rows["hash"] == stay["hash"])).select(rows["doc"], rows["hash"], "row", "once")
     once = kept.where("once").dropDuplicates(["doc", "hash"])
-    return once.union(kept.where("not once")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return once.union(kept.where("not once")).select(*unpacked("row", docs.columns))
 
 
 def _texts(ids: DataFrame, sketched: DataFrame, rows: DataFrame) -> DataFrame:

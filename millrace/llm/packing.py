@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize
 
+#: Entries that a plan may have: it is broadcast (40 bytes each).
+MOST = 1_000_000
 #: Fixed value: the split of byte-level BPE vocabularies whose files name no pattern of their own.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -38,10 +40,11 @@ def _byte_letters() -> dict[str, int]:
 
 @cache
 def load_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Text to token ids by a ``tokenizers`` file, without special tokens; their strings in a text are ordinary text.
+    """Text to token ids as ``tokenizers`` gives them for a file with ``add_special_tokens=False``.
 
-    A plain byte-level BPE whose ids are in the order of its merges gives the same ids by ``tiktoken``, several times as fast;
-    any other file is used by ``tokenizers`` itself.
+    No token is added; an added token's string in a text is that token, as there. A plain byte-level BPE whose ids are in the
+    order of its merges gives the same ids by ``tiktoken``, several times as fast; texts that are too much for that one's
+    pattern (a million blanks in a row) and any other file go to ``tokenizers`` itself.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -49,20 +52,33 @@ def load_encoder(path: str) -> Callable[[str], np.ndarray]:
     vocabulary = model.get("vocab", {})
     if model.get("type") == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer"):
         letters = _byte_letters()
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        special = {t["content"]: t["id"] for t in added}
+        bare = not any(t.get(x) for t in added for x in ("lstrip", "rstrip", "single_word"))
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         made = [vocabulary["".join(m)] for m in merges]
         plain = {w: i for w, i in vocabulary.items() if w not in special}
-        if made == sorted(made) and len(plain) == len(merges) + 256 and all(set(w) <= letters.keys() for w in plain):
+        if bare and made == sorted(made) and len(plain) == len(merges) + 256 and all(set(w) <= letters.keys() for w in plain):
             import tiktoken
 
             ranks = {bytes(letters[c] for c in w): i for w, i in plain.items()}
-            encoding = tiktoken.Encoding("plain", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-            return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
+            encoding = tiktoken.Encoding("plain", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
+
+            def encode(text: str) -> np.ndarray:
+                try:
+                    return encoding.encode_to_numpy(text, allowed_special="all")
+                except ValueError:
+                    return _plainly(path)(text)
+
+            return encode
+    return _plainly(path)
+
+
+@cache
+def _plainly(path: str) -> Callable[[str], np.ndarray]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
@@ -74,8 +90,8 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, key: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
     """A row for each piece: ``key``, piece, start, length, ids_crc32. Every document ends with the id ``end``."""
-    source = docs.select(F.col(f"`{key}`").alias(key), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
-    schema = f"`{key}` {source.schema[0].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"
+    source = docs.select(F.col(f"`{key}`").alias("doc"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    schema = f"doc {source.schema[0].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = load_encoder(tokenizer)
@@ -87,9 +103,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, key: str = "doc_id
                     rows.append((piece, start, length, zlib.crc32(ids[start : start + length].tobytes())))
                     taken.append(i)
             columns = [pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(taken, pa.int64())), *columns], names=[key, "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(taken, pa.int64())), *columns], names=["doc", "piece", "start", "length", "ids_crc32"])
 
-    return source.mapInArrow(encode, schema)
+    return source.mapInArrow(encode, schema).withColumnRenamed("doc", key)
 
 
 def best_fit_plan(counts: Iterable[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -148,15 +164,17 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, key: str = "doc_
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = materialize(pieces_of(docs, tokenizer, capacity, key, text), "pieces")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), "piece", "ids_crc32"), F.lit(parts)).cast("int"))
+    pieces = materialize(pieces_of(docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text")), tokenizer, capacity, "doc"), "pieces")
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(F.col("doc").cast("string"), "piece", "ids_crc32"), F.lit(parts)).cast("int"))
     sizes = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "piece-counts")
     counts = [(r.length, r.n) for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()]
     plan = best_fit_plan(counts, capacity)
+    if len(plan) > MOST:
+        raise RuntimeError(f"a plan of {len(plan)} entries is more than the bound of {MOST}")
     before = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy(f"`{key}`", "piece", "ids_crc32"))
+    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc", "piece", "ids_crc32"))
     ranked = salted.withColumn("own", own).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own") - 1)
     slots = spark.createDataFrame(plan, "slot_length bigint, first bigint, pieces bigint, sequence bigint, offset bigint")
     fits = (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("pieces"))
     # the plan's size is bounded by the capacity alone: runs of lengths by runs of room
-    return ranked.join(F.broadcast(slots), fits).select(f"`{key}`", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
+    return ranked.join(F.broadcast(slots), fits).select(F.col("doc").alias(key), "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")

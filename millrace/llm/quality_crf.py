@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import carried, unpacked
+
 #: Bytes by kind; the order gives the columns of the counts.
 KINDS = ("lower", "upper", "digit", "space", "stop", "pause", "bang", "bar", "mark", "letter", "rest")
 #: Bytes of text in a slice of a batch that is worked on at once; a longer document is a slice of its own.
@@ -262,9 +264,8 @@ def score_quality(docs: DataFrame, model: dict, text: str = "text", score: str =
     a column of ``docs`` that is already called like ``score`` is replaced.
     """
     kept = [c for c in docs.columns if c not in (text, score)]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
-    out = source.withColumnRenamed("__text", text) if keep_text else source.drop("__text")
-    schema = out.withColumn(score, F.lit(0.0)).schema
+    source = docs.select(carried(kept).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = (source if keep_text else source.drop("text")).withColumn("score", F.lit(0.0)).schema
     packed = json.dumps(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +274,10 @@ def score_quality(docs: DataFrame, model: dict, text: str = "text", score: str =
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             scores = np.concatenate([score_texts(part, own) for part in _slices(texts)]) if texts else np.zeros(0)
             columns = batch.columns if keep_text else batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*kept, *([text] if keep_text else []), score])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=["row", *(["text"] if keep_text else []), "score"])
 
-    return source.mapInArrow(run, schema)
+    found = source.mapInArrow(run, schema).withColumn("new", F.struct(*([F.col("text").alias(text)] if keep_text else []), F.col("score").alias(score)))
+    return found.select(*unpacked("row", kept), *unpacked("new", [*([text] if keep_text else []), score]))
 
 
 def held_out(key: str | Column) -> Column:

@@ -110,7 +110,8 @@ def apply_rules(urls: DataFrame, rules: DataFrame, url: str = "url", default: st
     points = keyed.select("key", "host", "path", F.lit(None).cast("string").alias("said"), "row", F.pmod(F.xxhash64("row"), F.lit(1 << 20)).alias("salt"))
     dealt = points.mapInArrow(deal_urls, points.drop("salt").withColumn("part", F.lit(0)).schema)
     given = rules.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("host", "path", "verdict")]).where("host <> ''")
-    given = given.select(host_key(F.lower("host")).alias("key"), F.lower("host").alias("host"), "path", F.col("verdict").alias("said"))
+    low = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")  # as the urls' hosts: A-Z only
+    given = given.select(host_key(low).alias("key"), low.alias("host"), "path", F.col("verdict").alias("said"))
     sent = given.mapInArrow(deal_rules, given.withColumn("part", F.lit(0)).schema).withColumn("row", F.lit(None).cast(points.schema["row"].dataType))
     events = dealt.unionByName(sent)
     # with equal keys the rules come first, in the order of their paths

@@ -507,7 +507,6 @@ def test_packing(spark, docs, sf_dir, odd, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     rows = collections.defaultdict(list)
     sequences = collections.defaultdict(list)
     for r in entry.op10_best_fit_packing(spark, sf_dir).collect():
@@ -536,11 +535,65 @@ def test_encoder_agrees_with_tokenizers():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
-    for text in ["", "Hello <|endoftext|> wörld  \n\n x", "a" * 3000, "it's 日本語 \t\t 12345 🙂"]:
+    special = [x.content for x in t.get_added_tokens_decoder().values()]
+    assert special
+    texts = ["", "Hello <|endoftext|> wörld  \n\n x", "a" * 3000, "it's 日本語 \t\t 12345 🙂", " " * 1_000_000 + "x", "\n" * 300_000, "x" * 100_000]
+    texts += [form.format(x) for x in special for form in ("a {} b", "{}", "  {}  ", "{0}{0}x", "a{}\n", "<{}>")]
+    for text in texts:
         assert packing.load_encoder(TOKENIZER)(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_clashing_names(spark):
+    """Columns of the caller that are called like what the operators use inside, or like what they return."""
+    names = ["doc", "hash", "row", "text_", "html", "line", "low", "every", "rows", "score", "media", "__text", "__html", "__doc", "__copies", "copies", "a.b", "label"]
+    df = spark.createDataFrame([(1, "all rights reserved. A line.\nAnd more"), (2, None)], "doc_id long, text string").withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    kept = [n for n in df.columns if n != "text"]
+    assert set(kept) <= set(quality_crf.classify(df, labels).columns) and quality_crf.classify(df, labels).count() == 2
+    model = quality_crf.train(df, labels)
+    assert quality_crf.score_quality(df, model, score="__score", keep_text=True).select("text", "score", "`a.b`").first() == ("all rights reserved. A line.\nAnd more", 9, 16)
+    assert media.text_as_media(df).select("row", "html").first() == (2, 4)
+    assert license_scan.summarize(license_scan.scan_licenses(df)).where("doc_id = 1").select("line", "base_labels").first() == (5, "reserved")
+    assert html_extract.extract_main_text(df.drop("html").withColumnRenamed("text", "html")).select("row", "main_text").first() == (2, "all rights reserved. A line. And more")
+    mixed = mixing.mix(df, spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, domain string"), {"a": 1.0, "b": 1.0})
+    again = mixing.apply_copies(df, mixed.drop("copies").withColumn("copies", F.lit(2)))
+    assert again.columns == df.columns and again.count() == 4
+    assert packing.pack(df, TOKENIZER, 16).count() == 2 and packing.pack(df, TOKENIZER, 16, key="doc").columns[0] == "doc"
+    rules = spark.createDataFrame([("É.net", None, "block"), (None, "/", "block"), ("EXAMPLE.org", "/", None)], "host string, path string, verdict string")
+    urls = spark.createDataFrame([(1, "http://É.net/x"), (2, "http://a.example.ORG/")], "page_id long, url string").withColumn("key", F.lit(3))
+    assert {(r.page_id, r.rule, r.verdict) for r in url_filter.apply_rules(urls, rules).collect()} == {(1, "É.net", "block"), (2, "example.org/", "")}
+
+
+def test_damaged_frames(spark):
+    samples = np.random.default_rng(7).integers(0, 256, (16, 64)).astype(np.uint8)
+    good = media.write_avi([jpeg.encode_lossless(samples)] * 2, 64, 16)
+    bad = [good[:i] for i in range(0, len(good), 97)]
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        cut = bytearray(good)
+        for at in rng.integers(0, len(good), 3):
+            cut[at] = int(rng.integers(0, 256))
+        bad.append(bytes(cut))
+    # a sampling factor of zero, and restarts without their markers
+    head = b"\xff\xd8\xff\xdb\x00\x43\x00" + bytes([16] * 64)
+    frame = lambda factor, restart: head + restart + b"\xff\xc0\x00\x0b\x08\x00\x10\x00\x10\x01\x01" + factor + b"\x00\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00" + bytes(8) + b"\xff\xd9"
+    bad += [media.write_avi([f], 16, 16) for f in (frame(b"\x00", b""), frame(b"\x11", b"\xff\xdd\x00\x04\x00\x01"))]
+    files = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(bad)], "id long, media binary")
+    rows = media.media_clips(files, "id").collect()
+    assert {r.id for r in rows} == set(range(len(bad))) and all(r.error for r in rows if r.id >= len(bad) - 2)
+
+
+def test_standard_tables():
+    """A frame without Huffman tables, as Motion JPEG has them: flat blocks by the standard codes, written bit by bit."""
+    codes = jpeg._standard()
+    assert [len(codes[k]) for k in (0, 1, 0x10, 0x11)] == [12, 12, 162, 162]
+    # DC category 4 is 101, 0 is 00; the end of a block is 1010
+    bits = "101" + "1010" + "1010" + "00" + "1010"
+    scan = int(bits.ljust(24, "1"), 2).to_bytes(3, "big")
+    frame = b"\xff\xd8\xff\xdb\x00\x43\x00" + bytes([16] * 64) + b"\xff\xc0\x00\x0b\x08\x00\x08\x00\x10\x01\x01\x11\x00\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00" + scan + b"\xff\xd9"
+    assert (jpeg.decode(frame) == 128 + 10 * 16 // 8).all()
+
+
 # -- pipeline --------------------------------------------------------------------------------------------------------
 
 
