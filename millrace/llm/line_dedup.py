@@ -36,7 +36,7 @@ SHINGLE, BANDS, ROWS, BLANKS = 12, 7, 2, " \t\r\u00a0"
 #: Equal minima that a pair needs before its texts are compared: of pairs at similarity 0.8 that share a band, 0.9994 have them.
 AGREE = 7
 #: Lines of a bucket that are compared at once, all with all.
-BLOCK = 4096
+BLOCK = 512
 #: Bytes of a code point in ``UNITS``; bits of a word of the table by which lines in no bucket are passed over, and its words at most.
 WIDTH, UNITS, WORD, TABLE = 4, "UTF-32", 64, 1 << 18
 
@@ -82,11 +82,11 @@ def _signatures(lines: DataFrame) -> DataFrame:
 
 
 def _members(signatures: DataFrame) -> DataFrame:
-    """``bucket``, ``lk`` and the bucket's ``pivot``, its most frequent line, for the lines that share a band with another line."""
+    """``bucket``, its ``band``, ``lk`` and the bucket's ``pivot``, its most frequent line, for the lines that share a band with another line."""
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    buckets = signatures.select("lk", "weight", F.explode(F.array(*bands)).alias("bucket"))
+    buckets = signatures.select("lk", "weight", F.posexplode(F.array(*bands)).alias("band", "bucket"))
     whole = Window.partitionBy("bucket")
-    placed = buckets.select("bucket", "lk", F.max(F.struct("weight", "lk")).over(whole)["lk"].alias("pivot"), F.count("*").over(whole).alias("n"))
+    placed = buckets.select("bucket", "band", "lk", F.max(F.struct("weight", "lk")).over(whole)["lk"].alias("pivot"), F.count("*").over(whole).alias("n"))
     return placed.where("n > 1").drop("n")
 
 
@@ -122,18 +122,26 @@ def _exact(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return near.select("a", "b", sets.alias("sets")).where(_alike(F.col("sets.a"), F.col("sets.b"), threshold)).select("a", "b")
 
 
-def _across(rest: DataFrame) -> DataFrame:
-    """Likely pairs across components of a bucket. ``rest``: bucket, n (its rows here), lk, comp, minima.
+def _across(rest: DataFrame, threshold: float) -> DataFrame:
+    """Links across components of a bucket. ``rest``: bucket, band, n (its rows here), lk, comp, minima, set.
 
     A bucket's rows are dealt to blocks of about ``BLOCK`` lines by their keys, and pairs of blocks are joined, so that the
-    comparisons within a large bucket are spread over many tasks. Only likely pairs come out of the join.
+    comparisons within a large bucket are spread over many tasks. Both sides are one and the same exchange. A pair is compared
+    in the first band that its lines share, by estimate and then exactly, within the join: only links come out of it.
     """
     dealt = rest.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("x", F.pmod(F.xxhash64("lk"), "nb").cast("int"))
-    left = dealt.select("bucket", "x", F.explode(F.sequence(F.col("x"), F.col("nb") - 1)).alias("y"), F.col("lk").alias("a"), F.col("comp").alias("ca"), F.col("minima").alias("ma"))
-    right = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("x"))).alias("x"), F.col("x").alias("y"), F.col("lk").alias("b"), F.col("comp").alias("cb"), F.col("minima").alias("mb"))
-    same = (left["bucket"] == right["bucket"]) & (left["x"] == right["x"]) & (left["y"] == right["y"])
-    once = (left["x"] < left["y"]) | (F.col("a") < F.col("b"))
-    return left.join(right, same & once & (F.col("ca") != F.col("cb")) & _agree("ma", "mb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    spread = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    blocks = [F.col("bucket"), F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"), F.col("band")]
+
+    def side(s: str) -> DataFrame:
+        return spread.select(*blocks, *[F.col(c).alias(c + s) for c in ("x", "lk", "comp", "minima", "set")])
+
+    left, right = side("a"), side("b")
+    same = (left["bucket"] == right["bucket"]) & (left["low"] == right["low"]) & (left["high"] == right["high"])
+    once = (F.col("xa") < F.col("xb")) | ((F.col("xa") == F.col("xb")) & (left["low"] == left["high"]) & (F.col("lka") < F.col("lkb")))
+    shared = F.coalesce(*[F.when(reduce(lambda p, q: p & q, [F.col("minimaa")[i] == F.col("minimab")[i] for i in range(b * ROWS, b * ROWS + ROWS)]), b) for b in range(BANDS)])
+    linked = F.when(_agree("minimaa", "minimab") & (shared == left["band"]), _alike(F.col("seta"), F.col("setb"), threshold)).otherwise(False)
+    return left.join(right, same & once & (F.col("compa") != F.col("compb")) & linked).select(F.least("lka", "lkb").alias("a"), F.greatest("lka", "lkb").alias("b"))
 
 
 def line_classes(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -152,11 +160,10 @@ def line_classes(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     # pairs across components: only buckets with several components have any, and those with the pivot are done
     labelled = placed.where("lk <> pivot").join(comps.withColumnRenamed("node", "lk"), "lk", "left").withColumn("comp", F.coalesce("comp", "lk"))
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("bucket", "n")
-    rest = materialize(labelled.join(mixed, "bucket").join(sketches, "lk").select("bucket", "n", "lk", "comp", "minima"), "line-rest")
-    likely = materialize(_across(rest), "line-pairs")
-    more = materialize(_exact(likely, texts, threshold), "line-links")
+    rest = labelled.join(mixed, "bucket").join(sketches, "lk").join(texts, "lk").select("bucket", "band", "n", "lk", "comp", "minima", shingle_set(F.col("line")).alias("set"))
+    more = materialize(_across(rest, threshold), "line-links")
     whole = comps if more.isEmpty() else components(edges.union(more))
-    release(placed, sketches, texts, edges, rest, likely, more, *([comps] if whole is not comps else []))
+    release(placed, sketches, texts, edges, more, *([comps] if whole is not comps else []))
     return whole
 
 
