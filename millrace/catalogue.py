@@ -598,7 +598,7 @@ def _orders() -> S.Schema:
 
 
 @case("select o_orderkey, o_orderstatus as status, o_totalprice, upper(o_orderpriority) as o_orderpriority, cast(round(o_totalprice * 100) as bigint) as cents from orders")
-def schema_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+def schema_file_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.FileSource(spark, sf_dir).read(_orders())
 
 
@@ -609,12 +609,12 @@ def schema_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @case("select o_orderstatus as status, o_totalprice, upper(o_orderpriority) as o_orderpriority from orders")
 def schema_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders().strip(schema_read(spark, sf_dir))
+    return _orders().strip(schema_file_read(spark, sf_dir))
 
 
 @case("select o_orderkey, case when o_orderkey % 5 = 0 then null when o_orderkey % 5 = 1 then 'N' else o_orderstatus end as status, o_totalprice from orders")
 def update_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = schema_read(spark, sf_dir)
+    rows = schema_file_read(spark, sf_dir)
     k = F.col("o_orderkey") % 5
     changed = rows.where(k < 2).select("o_orderkey", F.when(k == 1, "N").alias("status"))
     return _orders().merge(rows, changed).select("o_orderkey", "status", "o_totalprice")
@@ -622,7 +622,7 @@ def update_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @case("select o_orderkey, o_orderkey % 2 = 0 as same from orders")
 def schema_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = schema_read(spark, sf_dir)
+    rows = schema_file_read(spark, sf_dir)
     other = rows.withColumn("status", F.when(F.col("o_orderkey") % 2 == 0, F.col("status")).otherwise(F.concat("status", F.lit("!"))))
     pairs = rows.select("o_orderkey", _orders().hash().alias("h"), _orders().content().alias("a")).join(other.select("o_orderkey", _orders().hash().alias("g"), _orders().content().alias("b")), "o_orderkey")
     return pairs.select("o_orderkey", (F.col("a").eqNullSafe(F.col("b")) & (F.col("h") == F.col("g"))).alias("same"))
