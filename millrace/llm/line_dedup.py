@@ -11,14 +11,17 @@ and are one node.
    are different sums (modulo 2) of the hash's four independent words, so any two are independent.
 2. Banding: lines meet in a bucket for each band of ``ROWS`` minima. Two lines at similarity 0.8 share one of the seven bands of
    two with probability 0.999.
-3. Verification: exact Jaccard of the sets, first of each line in a bucket with the bucket's most frequent line, which is
-   linear however large the bucket and links the copies of a line to the line itself. The texts of lines in buckets are what is
-   written for this; the sets, several times as large, are made of them pair by pair. Pairs that union-find already joins
-   need no check; the other pairs of a bucket, those across its components, are then all compared, within the join: only
-   links come out of it.
-4. Union-find gives the components. Of each component the first line in order of document id, text hash and line number stays.
-
-Pairs come to step 3 only if at least ``AGREE`` of their minima are equal. Blank lines are never dropped. A line key has 64 bits; among n different lines about n^2 / 2^65 pairs collide.
+3. A bitmap of ``64 * WORDS`` bits for each line in a bucket: every element of its set flips one bit. Two lines' bitmaps differ
+   in no more bits than their sets differ in elements, so a pair whose bitmaps differ in more than the threshold allows to the
+   sets is not alike: this passes over pairs without any text and loses none. Sets of some thousand elements and more fill the
+   bitmap, and their pairs are left to the next step.
+4. Verification: exact Jaccard of the sets of pairs that the bitmaps leave, made of the lines pair by pair. First comes each line
+   in a bucket with the bucket's most frequent line, which is linear however large the bucket and links the copies of a line to
+   the line itself. Pairs that union-find already joins need no check; the other pairs of a bucket, those across its components,
+   are then compared by their bitmaps in blocks that are spread over tasks.
+5. Union-find gives the components. Of each component the first line in order of document id, text hash and line number stays.
+
+Blank lines are never dropped. A line key has 64 bits; among n different lines about n^2 / 2^65 pairs collide.
 """
 
 from __future__ import annotations
@@ -33,10 +36,8 @@ from millrace.llm.common import carried, materialize, release, unpacked
 from millrace.llm.graph import components
 
 SHINGLE, BANDS, ROWS, BLANKS = 12, 7, 2, " \t\r\u00a0"
-#: Equal minima that a pair needs before its texts are compared: of pairs at similarity 0.8 that share a band, 0.9994 have them.
-AGREE = 7
-#: Lines of a bucket that are compared at once, all with all.
-BLOCK = 512
+#: Lines of a bucket whose bitmaps are compared at once, all with all; 64-bit words of a bitmap.
+BLOCK, WORDS = 1024, 16
 #: Bytes of a code point in ``UNITS``; bits of a word of the table by which lines in no bucket are passed over, and its words at most.
 WIDTH, UNITS, WORD, TABLE = 4, "UTF-32", 64, 1 << 18
 
@@ -82,11 +83,11 @@ def _signatures(lines: DataFrame) -> DataFrame:
 
 
 def _members(signatures: DataFrame) -> DataFrame:
-    """``bucket``, its ``band``, ``lk`` and the bucket's ``pivot``, its most frequent line, for the lines that share a band with another line."""
+    """``bucket``, ``lk``, and the bucket's ``pivot``, its most frequent line, for the lines that share a band with another line."""
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    buckets = signatures.select("lk", "weight", F.posexplode(F.array(*bands)).alias("band", "bucket"))
+    buckets = signatures.select("lk", "weight", F.explode(F.array(*bands)).alias("bucket"))
     whole = Window.partitionBy("bucket")
-    placed = buckets.select("bucket", "band", "lk", F.max(F.struct("weight", "lk")).over(whole)["lk"].alias("pivot"), F.count("*").over(whole).alias("n"))
+    placed = buckets.select("bucket", "lk", F.max(F.struct("weight", "lk")).over(whole)["lk"].alias("pivot"), F.count("*").over(whole).alias("n"))
     return placed.where("n > 1").drop("n")
 
 
@@ -110,9 +111,27 @@ def _alike(a: Column, b: Column, threshold: float) -> Column:
     return fits & (shared * (1 + threshold) >= threshold * (F.size(a) + F.size(b)) - 1e-9)
 
 
-def _agree(a: str, b: str) -> Column:
-    same = [(F.col(a)[i] == F.col(b)[i]).cast("int") for i in range(BANDS * ROWS)]
-    return reduce(lambda x, y: x + y, same) >= AGREE
+def _bitmaps(texts: DataFrame) -> DataFrame:
+    """``lk``, the ``size`` of its set and the set's bitmap, ``w0`` and on."""
+    each = texts.select("lk", F.explode(shingle_set(F.col("line"))).alias("h"))
+    # bits that the minima of the bands do not order by
+    place = F.shiftrightunsigned(F.xxhash64("h"), 7).bitwiseAND(F.lit(64 * WORDS - 1))
+    each = each.select("lk", F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    words = [F.coalesce(F.bit_xor(F.when(F.col("word") == w, F.col("bit"))), F.lit(0).cast("bigint")).alias(f"w{w}") for w in range(WORDS)]
+    return each.groupBy("lk").agg(F.count("*").cast("int").alias("size"), *words)
+
+
+def _side(table: DataFrame, s: str) -> DataFrame:
+    """The columns of a table of bitmaps, named for one side of a pair."""
+    return table.select(*[F.col(c).alias(f"{s}_{c}") for c in table.columns])
+
+
+def _possible(threshold: float) -> Column:
+    """Whether sizes and bitmaps of the sides ``a`` and ``b`` allow the threshold; it does not pass over a pair that reaches it."""
+    a, b = F.col("a_size"), F.col("b_size")
+    fits = F.least(a, b) >= threshold * F.greatest(a, b)
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_w{w}").bitwiseXOR(F.col(f"b_w{w}"))) for w in range(WORDS)])
+    return fits & (differ * (1 + threshold) <= (1 - threshold) * (a + b) + 1e-6)
 
 
 def _exact(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -123,47 +142,39 @@ def _exact(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def _across(rest: DataFrame, threshold: float) -> DataFrame:
-    """Links across components of a bucket. ``rest``: bucket, band, n (its rows here), lk, comp, minima, set.
+    """Pairs across components of a bucket that their bitmaps allow. ``rest``: bucket, n (its rows here), lk, comp, size, bitmap.
 
     A bucket's rows are dealt to blocks of about ``BLOCK`` lines by their keys, and pairs of blocks are joined, so that the
-    comparisons within a large bucket are spread over many tasks. Both sides are one and the same exchange. A pair is compared
-    in the first band that its lines share, by estimate and then exactly, within the join: only links come out of it.
+    comparisons within a large bucket are spread over many tasks. Both sides are one and the same exchange.
     """
     dealt = rest.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("x", F.pmod(F.xxhash64("lk"), "nb").cast("int"))
     spread = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    blocks = [F.col("bucket"), F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"), F.col("band")]
-
-    def side(s: str) -> DataFrame:
-        return spread.select(*blocks, *[F.col(c).alias(c + s) for c in ("x", "lk", "comp", "minima", "set")])
-
-    left, right = side("a"), side("b")
-    same = (left["bucket"] == right["bucket"]) & (left["low"] == right["low"]) & (left["high"] == right["high"])
-    once = (F.col("xa") < F.col("xb")) | ((F.col("xa") == F.col("xb")) & (left["low"] == left["high"]) & (F.col("lka") < F.col("lkb")))
-    shared = F.coalesce(*[F.when(reduce(lambda p, q: p & q, [F.col("minimaa")[i] == F.col("minimab")[i] for i in range(b * ROWS, b * ROWS + ROWS)]), b) for b in range(BANDS)])
-    linked = F.when(_agree("minimaa", "minimab") & (shared == left["band"]), _alike(F.col("seta"), F.col("setb"), threshold)).otherwise(False)
-    return left.join(right, same & once & (F.col("compa") != F.col("compb")) & linked).select(F.least("lka", "lkb").alias("a"), F.greatest("lka", "lkb").alias("b"))
+    spread = spread.withColumn("low", F.least("x", "y")).withColumn("high", F.greatest("x", "y")).drop("n", "nb", "y")
+    met = reduce(lambda p, q: p & q, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in ("bucket", "low", "high")])
+    # blocks of one number meet in full, others in one direction
+    once = (F.col("a_x") < F.col("b_x")) | ((F.col("a_x") == F.col("b_x")) & (F.col("a_low") == F.col("a_high")) & (F.col("a_lk") < F.col("b_lk")))
+    found = _side(spread, "a").join(_side(spread, "b"), met & once & (F.col("a_comp") != F.col("b_comp")) & _possible(threshold))
+    return found.select(F.least("a_lk", "b_lk").alias("a"), F.greatest("a_lk", "b_lk").alias("b")).distinct()
 
 
 def line_classes(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``node`` (a line key) and ``comp`` of the lines that are alike to another, different line; ``lines`` as of ``document_lines``."""
     lines = lines.where("line <> ''")
-    signatures = materialize(_signatures(lines), "line-signatures")
-    placed = materialize(_members(signatures), "line-buckets")
-    sketches = signatures.join(placed.select("lk").distinct(), "lk", "left_semi").select("lk", F.array(*[f"m{i}" for i in range(BANDS * ROWS)]).alias("minima"))
-    sketches = materialize(sketches, "line-sketches")
-    release(signatures)
+    placed = materialize(_members(_signatures(lines)), "line-buckets")
     texts = materialize(_texts(lines, placed), "line-texts")
-    star = placed.where("lk <> pivot").select(F.col("pivot").alias("a"), F.col("lk").alias("b")).distinct()
-    star = star.join(sketches.select(F.col("lk").alias("a"), F.col("minima").alias("ma")), "a").join(sketches.select(F.col("lk").alias("b"), F.col("minima").alias("mb")), "b")
-    edges = materialize(_exact(star.where(_agree("ma", "mb")).select("a", "b"), texts, threshold), "line-links")
+    bitmaps = materialize(_bitmaps(texts), "line-bitmaps")
+    star = placed.where("lk <> pivot").select("pivot", "lk").distinct()
+    star = star.join(_side(bitmaps, "a"), F.col("pivot") == F.col("a_lk")).join(_side(bitmaps, "b"), F.col("lk") == F.col("b_lk"))
+    star = star.where(_possible(threshold)).select(F.col("pivot").alias("a"), F.col("lk").alias("b"))
+    edges = materialize(_exact(star, texts, threshold), "line-links")
     comps = components(edges)
     # pairs across components: only buckets with several components have any, and those with the pivot are done
     labelled = placed.where("lk <> pivot").join(comps.withColumnRenamed("node", "lk"), "lk", "left").withColumn("comp", F.coalesce("comp", "lk"))
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("bucket", "n")
-    rest = labelled.join(mixed, "bucket").join(sketches, "lk").join(texts, "lk").select("bucket", "band", "n", "lk", "comp", "minima", shingle_set(F.col("line")).alias("set"))
-    more = materialize(_across(rest, threshold), "line-links")
+    rest = labelled.join(mixed, "bucket").drop("pivot").join(bitmaps, "lk")
+    more = materialize(_exact(_across(rest, threshold), texts, threshold), "line-links")
     whole = comps if more.isEmpty() else components(edges.union(more))
-    release(placed, sketches, texts, edges, more, *([comps] if whole is not comps else []))
+    release(placed, texts, bitmaps, edges, more, *([comps] if whole is not comps else []))
     return whole
 
 
