@@ -17,8 +17,10 @@ and are one node.
    bitmap, and their pairs are left to the next step.
 4. Verification: exact Jaccard of the sets of pairs that the bitmaps leave, made of the lines pair by pair. First comes each line
    in a bucket with the bucket's most frequent line, which is linear however large the bucket and links the copies of a line to
-   the line itself. Pairs that union-find already joins need no check; the other pairs of a bucket, those across its components,
-   are then compared by their bitmaps in blocks that are spread over tasks.
+   the line itself. Pairs that union-find already joins need no check. Buckets of more than ``BLOCK`` lines then compare all
+   their lines with ``PIVOTS`` of them, spread over the bucket by a hash, which joins most of what is alike to anything by
+   way of them. The other pairs of a bucket, those across its components, are last compared by their bitmaps, in blocks that
+   are spread over tasks. A pair is handed on in one bucket only, the least that its lines share.
 5. Union-find gives the components. Of each component the first line in order of document id, text hash and line number stays.
 
 Blank lines are never dropped. A line key has 64 bits; among n different lines about n^2 / 2^65 pairs collide.
@@ -36,8 +38,8 @@ from millrace.llm.common import carried, materialize, release, unpacked
 from millrace.llm.graph import components
 
 SHINGLE, BANDS, ROWS, BLANKS = 12, 7, 2, " \t\r\u00a0"
-#: Lines of a bucket whose bitmaps are compared at once, all with all; 64-bit words of a bitmap.
-BLOCK, WORDS = 1024, 16
+#: Lines of a bucket whose bitmaps are compared at once, all with all; lines that a larger bucket compares first; 64-bit words of a bitmap.
+BLOCK, PIVOTS, WORDS = 1024, 256, 16
 #: Bytes of a code point in ``UNITS``; bits of a word of the table by which lines in no bucket are passed over, and its words at most.
 WIDTH, UNITS, WORD, TABLE = 4, "UTF-32", 64, 1 << 18
 
@@ -141,8 +143,30 @@ def _exact(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return near.select("a", "b", sets.alias("sets")).where(_alike(F.col("sets.a"), F.col("sets.b"), threshold)).select("a", "b")
 
 
+def _met(threshold: float) -> Column:
+    """Rows of one bucket and two components whose bitmaps allow the threshold, in the least of the buckets that they share."""
+    apart = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_comp") != F.col("b_comp"))
+    return apart & _possible(threshold) & (F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("a_bucket"))
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.least("a_lk", "b_lk").alias("a"), F.greatest("a_lk", "b_lk").alias("b"))
+
+
+def _by_pivots(rest: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a large bucket's lines and its pivots that their bitmaps allow; ``rest`` as for ``_across``.
+
+    The pivots are the lines of the least hashes, the same ones in all buckets that share them as far as these go.
+    """
+    large = rest.where(F.col("n") > BLOCK)
+    # a bound that about PIVOTS of the bucket's hashes lie under
+    order = F.shiftrightunsigned(F.xxhash64("lk", F.lit(1)), 32)
+    pivots = large.where(order * F.col("n") < F.lit(PIVOTS << 32))
+    return _pairs(_side(pivots, "a").join(_side(large, "b"), _met(threshold))).distinct()
+
+
 def _across(rest: DataFrame, threshold: float) -> DataFrame:
-    """Pairs across components of a bucket that their bitmaps allow. ``rest``: bucket, n (its rows here), lk, comp, size, bitmap.
+    """Pairs across components of a bucket that their bitmaps allow. ``rest``: bucket, n (its rows here), lk, comp, keys (its buckets), size, bitmap.
 
     A bucket's rows are dealt to blocks of about ``BLOCK`` lines by their keys, and pairs of blocks are joined, so that the
     comparisons within a large bucket are spread over many tasks. Both sides are one and the same exchange.
@@ -150,11 +174,17 @@ def _across(rest: DataFrame, threshold: float) -> DataFrame:
     dealt = rest.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("x", F.pmod(F.xxhash64("lk"), "nb").cast("int"))
     spread = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     spread = spread.withColumn("low", F.least("x", "y")).withColumn("high", F.greatest("x", "y")).drop("n", "nb", "y")
-    met = reduce(lambda p, q: p & q, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in ("bucket", "low", "high")])
+    block = (F.col("a_low") == F.col("b_low")) & (F.col("a_high") == F.col("b_high"))
     # blocks of one number meet in full, others in one direction
     once = (F.col("a_x") < F.col("b_x")) | ((F.col("a_x") == F.col("b_x")) & (F.col("a_low") == F.col("a_high")) & (F.col("a_lk") < F.col("b_lk")))
-    found = _side(spread, "a").join(_side(spread, "b"), met & once & (F.col("a_comp") != F.col("b_comp")) & _possible(threshold))
-    return found.select(F.least("a_lk", "b_lk").alias("a"), F.greatest("a_lk", "b_lk").alias("b")).distinct()
+    return _pairs(_side(spread, "a").join(_side(spread, "b"), block & once & _met(threshold)))
+
+
+def _mixed(placed: DataFrame, comps: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The lines of buckets with several components, but the buckets' most frequent lines, which have been compared with all."""
+    labelled = placed.where("lk <> pivot").drop("pivot").join(comps.withColumnRenamed("node", "lk"), "lk", "left").withColumn("comp", F.coalesce("comp", "lk"))
+    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("bucket", "n")
+    return labelled.join(mixed, "bucket").join(placed.groupBy("lk").agg(F.collect_list("bucket").alias("keys")), "lk").join(bitmaps, "lk")
 
 
 def line_classes(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -168,14 +198,26 @@ def line_classes(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     star = star.where(_possible(threshold)).select(F.col("pivot").alias("a"), F.col("lk").alias("b"))
     edges = materialize(_exact(star, texts, threshold), "line-links")
     comps = components(edges)
-    # pairs across components: only buckets with several components have any, and those with the pivot are done
-    labelled = placed.where("lk <> pivot").join(comps.withColumnRenamed("node", "lk"), "lk", "left").withColumn("comp", F.coalesce("comp", "lk"))
-    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("bucket", "n")
-    rest = labelled.join(mixed, "bucket").drop("pivot").join(bitmaps, "lk")
-    more = materialize(_exact(_across(rest, threshold), texts, threshold), "line-links")
-    whole = comps if more.isEmpty() else components(edges.union(more))
-    release(placed, texts, bitmaps, edges, more, *([comps] if whole is not comps else []))
-    return whole
+    tables = [placed, texts, bitmaps, edges, comps]
+
+    def joined(pairs: DataFrame) -> None:
+        """Check the pairs and join the components that they link."""
+        nonlocal edges, comps
+        more = materialize(_exact(pairs, texts, threshold), "line-links")
+        tables.append(more)
+        if not more.isEmpty():
+            edges = edges.union(more)
+            comps = components(edges)
+            tables.append(comps)
+
+    rest = materialize(_mixed(placed, comps, bitmaps), "line-rest")
+    if not rest.where(F.col("n") > BLOCK).isEmpty():
+        joined(_by_pivots(rest, threshold))
+        release(rest)
+        rest = materialize(_mixed(placed, comps, bitmaps), "line-rest")
+    joined(_across(rest, threshold))
+    release(rest, *(t for t in tables if t is not comps))
+    return comps
 
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:

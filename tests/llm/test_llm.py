@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import io
+import random
 import zlib
 
 import duckdb
@@ -366,6 +367,39 @@ def test_line_dedup_by_brute_force(spark, docs, sf_dir):
     assert all(cut[r.doc_id] == "\n".join(dict(texts)[r.doc_id].split("\n")[p] for p in r.kept_lines) for r in rows)
 
 
+def test_line_dedup_large_buckets(spark, monkeypatch):
+    """Chains of near copies in buckets beyond a block: pivots, then blocks; each line is alike to its neighbours only."""
+    words = [f"word{i:02d}" for i in range(40)]
+    texts = [(i, " ".join([*(f"w{j}x{i // 40}" for j in range(i % 40)), *words[i % 40 :]])) for i in range(120)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = kept_by_hand(texts)
+    monkeypatch.setattr(line_dedup, "BLOCK", 6)
+    monkeypatch.setattr(line_dedup, "PIVOTS", 2)
+    rows = line_dedup.dedup_lines(df, with_text=False).collect()
+    assert {r.doc_id for r in rows if r.n_kept} == {d for d, _ in kept}
+
+
+def test_line_bitmaps_lose_no_pair(spark):
+    """Bitmaps never pass over a pair that reaches the threshold, and pass over most that don't."""
+    rng = random.Random(5)
+    base = [rng.choice("abcdefgh ") for _ in range(400)]
+    lines = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(i // 2):
+            own[rng.randrange(400)] = "#"
+        lines.append("".join(own) * (2 if i % 7 == 0 else 1))
+    lines += ["short", "ab" * 300, "x" * 50]
+    sets = [{x[k : k + 12] for k in range(max(1, len(x) - 11))} for x in lines]
+    bitmaps = line_dedup._bitmaps(spark.createDataFrame(list(enumerate(lines)), "lk long, line string"))
+    assert {r.lk: r.size for r in bitmaps.collect()} == {i: len(x) for i, x in enumerate(sets)}
+    left, right = line_dedup._side(bitmaps, "a"), line_dedup._side(bitmaps, "b")
+    found = {(r.a_lk, r.b_lk) for r in left.join(right, F.col("a_lk") < F.col("b_lk")).where(line_dedup._possible(0.8)).collect()}
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    apart = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) < 0.65 * len(sets[i] | sets[j])}
+    assert alike <= found and len(alike) > 20 and len(apart) > 500 and len(found & apart) <= len(apart) // 100
+
+
 def test_line_dedup_odd_rows(spark, odd, none):
     rows = line_dedup.dedup_lines(odd).collect()
     assert len(rows) == len(ODD) and line_dedup.dedup_lines(none).count() == 0
