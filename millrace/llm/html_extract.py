@@ -5,9 +5,11 @@ one path, the text length and the punctuation are summed and divided by the numb
 neighbouring blocks, multiplied, and compared with a threshold that the page itself gives. The blocks that pass select the
 content element: an ``article`` or ``main`` around the deepest element that holds most of their text, else the deepest element
 around all of them that is more than a leaf block. Its blocks are the text, short ones included, except those under boilerplate
-elements.
+elements and, where there is no article, those of links only on paths below the threshold. Tags condemn an element for good;
+words of its class do unless it holds what must be the article. Formulas are text; an advert within a line goes from the line.
 
-The work is a map over pages: no shuffle, and memory for one Arrow batch at a time.
+The work is a map over pages: no shuffle, and memory for one Arrow batch at a time, in proportion to its elements and text at any
+depth.
 """
 
 from __future__ import annotations
@@ -27,11 +29,14 @@ from millrace.llm.common import carried, unpacked
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike "
-    "strong sub sup time tt u var wbr img picture".split()
+    "strong sub sup time tt u var wbr img picture "
+    # of formulas
+    "math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mstyle "
+    "merror mpadded mphantom mfenced menclose mtable mtr mtd annotation annotation-xml".split()
 )
 BOILERPLATE_TAGS = frozenset(
     "nav header footer aside form button select input textarea option fieldset dialog menu iframe object embed applet map "
-    "canvas audio video head".split()
+    "canvas audio video head noscript svg annotation annotation-xml".split()
 )
 BOILERPLATE_WORDS = frozenset(
     "nav navbar navigation menu submenu header masthead topbar footer foot sidebar aside rail ad ads adv advert adverts "
@@ -39,6 +44,10 @@ BOILERPLATE_WORDS = frozenset(
     "alert popup modal overlay comment comments disqus replies respond share sharing social related recommended breadcrumb "
     "breadcrumbs newsletter subscribe signup login search pagination pager widget widgets toolbar copyright hidden".split()
 )
+COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
+#: Words that condemn an element within a line of text, and words that say a class is about another element.
+INLINE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo share sharing hidden".split())
+NEGATIONS = frozenset("has have no not non with without".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
 NEVER_BY_CLASS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset(["article", "main"])
@@ -48,7 +57,7 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<title\b[^>]*>[^<]*(?:</title\s*>)?"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\"><]++|\"[^\"<]*+\"|'[^'<]*+')*+|[^>]*)(?:>|\Z)",
@@ -56,6 +65,7 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
+_SEPARATOR = re.compile(r"[\s|/·•»›>-]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: A start tag of these closes an open one of the listed names first.
 CLOSES = {
@@ -69,93 +79,188 @@ CLOSES = {
 }
 
 
-def _boilerplate(name: str, attributes: str) -> bool:
+#: How an element is condemned: by its tag, role or style; by words of readers' comments; by other words of its class or id.
+TAG, COMMENT, CLASS = 1, 2, 3
+
+
+def _words(value: str) -> set[str]:
+    """The words of a class or id, without those that a word of ``NEGATIONS`` stands before: ``has-sidebar`` is no sidebar."""
+    found = set()
+    for name in _CAMEL.sub(" ", value).lower().split():
+        words = _WORD.findall(name)
+        found.update(w for i, w in enumerate(words) if NEGATIONS.isdisjoint(words[max(i - 2, 0) : i]))
+    return found
+
+
+def _condemned(name: str, attributes: str) -> int:
+    """How the element is condemned by itself, 0 if it isn't."""
     if name in BOILERPLATE_TAGS:
-        return True
+        return TAG
     if not attributes or attributes.isspace():
-        return False
+        return 0
+    found = 0
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
-            if name not in NEVER_BY_CLASS and not BOILERPLATE_WORDS.isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower())):
-                return True
+            if name not in NEVER_BY_CLASS:
+                words = _words(value) & (INLINE_WORDS if name in INLINE else BOILERPLATE_WORDS)
+                if words:
+                    found = max(found, CLASS) if COMMENT_WORDS.isdisjoint(words) else COMMENT
         elif key == "role":
             if value.lower() in BOILERPLATE_ROLES:
-                return True
+                return TAG
         elif key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return TAG
         elif key == "hidden" or value.lower() == "true":
-            return True
-    return False
+            return TAG
+    return found
+
+
+class _Tree:
+    """A page's elements by number, parents before children, 0 around all; and its non-empty blocks in page order.
+
+    A block is the number of the element it ends in, its text, and how many of its characters stand in links. An element's path
+    is a number too, so that a deep page takes memory in proportion to its elements.
+    """
+
+    def __init__(self) -> None:
+        self.names, self.parents, self.depths, self.paths, self.condemned = [""], [0], [0], [0], [0]
+        self.blocks: list[tuple[int, str, int]] = []
+        self._known: dict[tuple[int, str], int] = {}
 
+    def add(self, name: str, parent: int, condemned: int) -> int:
+        self.names.append(name)
+        self.parents.append(parent)
+        self.depths.append(self.depths[parent] + 1)
+        self.paths.append(self._known.setdefault((self.paths[parent], name), len(self._known) + 1))
+        self.condemned.append(condemned)
+        return len(self.names) - 1
 
-def blocks_of(page: str) -> list[tuple[str, str, tuple[int, ...], bool]]:
-    """The page's non-empty blocks in order: tag path, text, the numbers of the elements around it, whether it is boilerplate."""
-    out: list[tuple[str, str, tuple[int, ...], bool]] = []
-    stack: list[tuple[str, int, bool, str]] = [("", 0, False, "")]  # name, number, boilerplate, path
+    def sums(self, values: dict[int, int]) -> list[int]:
+        """For every element the sum over itself and all within it."""
+        total = [values.get(e, 0) for e in range(len(self.names))]
+        for e in range(len(total) - 1, 0, -1):
+            total[self.parents[e]] += total[e]
+        return total
+
+    def within(self, marked: list[bool]) -> list[bool]:
+        """For every element whether itself or one around it is marked."""
+        found = [marked[0]]
+        for e in range(1, len(marked)):
+            found.append(marked[e] or found[self.parents[e]])
+        return found
+
+
+def tree_of(page: str) -> _Tree:
+    """The page's elements and blocks."""
+    tree = _Tree()
+    stack: list[int] = [0]
+    opened: Counter[str] = Counter()
     buffer: list[str] = []
-    number, at = 0, 0
+    links, skipped, linked, at = 0, 0, 0, 0  # open links; open condemned inline elements; characters in links
 
     def flush() -> None:
+        nonlocal linked
         if buffer:
             text = " ".join(htmllib.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                out.append((stack[-1][3], text, tuple(x[1] for x in stack), stack[-1][2]))
+                tree.blocks.append((stack[-1], text, linked))
+        linked = 0
+
+    def put(text: str) -> None:
+        nonlocal linked
+        if not skipped:
+            buffer.append(text)
+            if links:
+                linked += sum(len(w) for w in htmllib.unescape(text).split())
 
     def close(depth: int) -> None:
-        if any(x[0] not in INLINE for x in stack[depth:]):
+        nonlocal links, skipped
+        if any(tree.names[e] not in INLINE for e in stack[depth:]):
             flush()
+        for e in stack[depth:]:
+            name = tree.names[e]
+            opened[name] -= 1
+            links -= name == "a"
+            skipped -= name in INLINE and tree.condemned[e] != 0
         del stack[depth:]
 
     for m in _MARKUP.finditer(page):
         if m.start() > at:
-            buffer.append(page[at : m.start()])
+            put(page[at : m.start()])
         at = m.end()
         if m[3] is None:
             continue
         name = m[3].lower()
         if m[2]:
             if name == "br":
-                buffer.append(" ")
-            elif name == "p" and all(x[0] != "p" for x in stack):
+                put(" ")
+            elif name == "p" and not opened["p"]:
                 flush()
-            else:
+            elif opened[name]:
                 for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == name:
+                    here = tree.names[stack[depth]]
+                    if here == name:
                         close(depth)
                         break
-                    if name in INLINE and stack[depth][0] not in INLINE:
+                    if name in INLINE and here not in INLINE:
                         break
             continue
         if name in VOID:
             if name == "hr":
                 flush()
-            elif name in ("br", "wbr"):
-                buffer.append(" " if name == "br" else "")
+            elif name == "br":
+                put(" ")
             continue
         if name not in INLINE:
             flush()
-            if len(stack) > 1 and stack[-1][0] == "head":
-                stack.pop()  # its end tag may be left out
+            if len(stack) > 1 and tree.names[stack[-1]] == "head":
+                close(len(stack) - 1)  # its end tag may be left out
             for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p" or stack[depth][0] in CLOSES.get(name, ()):
+                here = tree.names[stack[depth]]
+                if here == "p" or here in CLOSES.get(name, ()):
                     close(depth)
                     break
-                if stack[depth][0] not in INLINE:
+                if here not in INLINE:
                     break
-        number += 1
-        bad = stack[-1][2] or _boilerplate(name, m[4])
-        if bad and not stack[-1][2]:
-            flush()  # what comes before an inline boilerplate element keeps its own mark
         if m[4].endswith("/") and name not in INLINE:
             continue
-        stack.append((name, number, bad, f"{stack[-1][3]}/{name}"))
+        how = _condemned(name, m[4])
+        stack.append(tree.add(name, stack[-1], how))
+        opened[name] += 1
+        links += name == "a"
+        skipped += name in INLINE and how != 0
     if at < len(page):
-        buffer.append(page[at:])
+        put(page[at:])
     flush()
-    return out
+    return tree
+
+
+def _own(tree: _Tree) -> list[int]:
+    """The numbers of the blocks that are not boilerplate.
+
+    Words of a class are no proof: an element that only they condemn is spared if it holds an article, a main or a first heading
+    and half of the characters that neither tags nor words of comments condemn; and, if nothing is left of the page, the one
+    that holds most of these characters.
+    """
+    sure = tree.within([c in (TAG, COMMENT) for c in tree.condemned])
+    chars: dict[int, int] = defaultdict(int)
+    for e, text, _ in tree.blocks:
+        if not sure[e]:
+            chars[e] += len(text)
+    mass = tree.sums(chars)
+    heads = tree.sums({e: 1 for e, name in enumerate(tree.names) if not sure[e] and (name in CONTAINERS or name == "h1")})
+    by_class = [e for e, c in enumerate(tree.condemned) if c == CLASS and tree.names[e] not in INLINE]
+    spared = {e for e in by_class if heads[e] and 2 * mass[e] >= mass[0]}
+    while True:
+        bad = tree.within([c != 0 and e not in spared and tree.names[e] not in INLINE for e, c in enumerate(tree.condemned)])
+        own = [i for i, b in enumerate(tree.blocks) if not bad[b[0]]]
+        rest = [e for e in by_class if e not in spared and mass[e]]
+        if own or not rest:
+            return own
+        spared.add(max(rest, key=lambda e: (mass[e], -e)))
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -173,42 +278,48 @@ def main_text(page: str | None, threshold: float = 0.3, cover: float = 0.85) ->
     """
     if not page:
         return ""
-    blocks = blocks_of(page)
-    own = [i for i, b in enumerate(blocks) if not b[3]]
+    tree = tree_of(page)
+    blocks, own = tree.blocks, _own(tree)
     if not own:
         return ""
-    length: dict[str, float] = defaultdict(float)
-    marks: dict[str, float] = defaultdict(float)
-    nodes: dict[str, int] = defaultdict(int)
+    length: dict[int, int] = defaultdict(int)
+    marks: dict[int, int] = defaultdict(int)
+    nodes: dict[int, int] = defaultdict(int)
     for i in own:
-        path, text = blocks[i][:2]
+        path, text = tree.paths[blocks[i][0]], blocks[i][1]
         length[path] += len(text)
         marks[path] += len(PUNCTUATION.findall(text))
         nodes[path] += 1
-    texts = _smooth([length[blocks[i][0]] / nodes[blocks[i][0]] for i in own])
-    points = _smooth([marks[blocks[i][0]] / nodes[blocks[i][0]] for i in own])
+    places = [tree.paths[blocks[i][0]] for i in own]
+    texts = _smooth([length[p] / nodes[p] for p in places])
+    points = _smooth([marks[p] / nodes[p] for p in places])
     fused = [t * (p + 0.1) for t, p in zip(texts, points, strict=True)]
     least = threshold * sum(fused) / len(fused)
     chosen = [i for i, f in zip(own, fused, strict=True) if f >= least]
-    mass: dict[int, float] = defaultdict(float)
-    depth: dict[int, int] = {}
+    chars: dict[int, int] = defaultdict(int)
+    held: dict[int, int] = defaultdict(int)
     for i in chosen:
-        for d, element in enumerate(blocks[i][2]):
-            mass[element] += len(blocks[i][1])
-            depth[element] = d
-    whole = mass[0]
-    root = max((e for e in mass if mass[e] >= cover * whole), key=lambda e: depth[e])
-    line = next(blocks[i] for i in chosen if root in blocks[i][2])
-    names = line[0].split("/")
-    for d, element in enumerate(line[2][: depth[root] + 1]):
-        if names[d] in CONTAINERS:
-            root = element
-            break
+        chars[blocks[i][0]] += len(blocks[i][1])
+    for i in own:
+        held[blocks[i][0]] += 1
+    mass, holds = tree.sums(chars), tree.sums(held)
+    root = max((e for e in range(len(mass)) if mass[e] >= cover * mass[0]), key=lambda e: tree.depths[e])
+    found, e = 0, root
+    while e:
+        found = e if tree.names[e] in CONTAINERS else found
+        e = tree.parents[e]
+    kept = own
+    if found:
+        root = found
     else:
-        held = Counter(e for i in own for e in blocks[i][2])
-        around = [e for d, e in enumerate(line[2]) if mass[e] == whole and names[d] not in PARTS and held[e] > 1]
-        root = around[-1] if around else 0
-    return "\n".join(blocks[i][1] for i in own if root in blocks[i][2])
+        root = max((e for e in range(len(mass)) if mass[e] == mass[0]), key=lambda e: tree.depths[e])
+        while root and (tree.names[root] in PARTS or holds[root] < 2):
+            root = tree.parents[root]
+        # a block of nothing but links, whose path is below the threshold by itself, is a menu's
+        low = {p for p in nodes if length[p] / nodes[p] * (marks[p] / nodes[p] + 0.1) < least}
+        kept = [i for i, p in zip(own, places, strict=True) if p not in low or blocks[i][2] < len(_SEPARATOR.sub("", blocks[i][1]))]
+    inside = tree.within([e == root for e in range(len(mass))])
+    return "\n".join(blocks[i][1] for i in kept if inside[blocks[i][0]])
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", threshold: float = 0.3, cover: float = 0.85) -> DataFrame:

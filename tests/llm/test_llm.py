@@ -145,6 +145,36 @@ def test_html_without_article():
     assert html_extract.main_text(f"<p>{long}") == long.strip()
 
 
+def test_html_by_classes():
+    long = ("A sentence of the text, with words and marks; it goes on. " * 8).strip()
+    article = f"<h1>T</h1><p>{long}</p><p>Short.</p>"
+    whole = f"T\n{long}\nShort."
+    comments = f'<div class="comments"><article><p>{long} {long} {long}</p></article></div>'
+    for page in (
+        f'<div class="content has-sidebar">{article}<div class="sidebar"><p>{long}</p></div></div>',
+        f'<div id="page" class="layout-no-header"><nav>Home</nav>{article}{comments}</div>',
+        f'<div class="sidebar-layout"><div class="header">Site</div>{article}{comments}<div class="related">More</div></div>',
+        f'<div class="header"><h1>Site</h1></div><div>{article}</div>',
+        f'<div><div><a href="a">Home</a> | <a href="b">News</a></div>{article}<ul><li><a>One</a></li><li><a>Two</a></li></ul></div>',
+        f"<article>{article}</article>{comments}",
+    ):
+        assert html_extract.main_text(page) == whole, page
+    # nothing else is left of the page
+    assert html_extract.main_text(f'<div class="widget"><p>{long}</p></div><div class="comments"><p>{long}</p></div>') == long
+    assert html_extract.main_text(f'<div class="comments"><p>{long}</p></div>') == ""
+
+
+def test_html_within_a_line():
+    page = '<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>, <span class="ad">buy</span>then <a class="nav-link">see</a> it.</p><noscript>on</noscript><svg><text>icon</text></svg></article>'
+    assert html_extract.main_text(page) == "Let x=2, then see it."
+
+
+def test_html_depth():
+    for n in (4, 20_000):
+        deep = "".join(f"<div>a{i}, b." for i in range(n)) + "</section>" * n + "</div>" * n
+        assert html_extract.main_text(deep).count("\n") == n - 1
+
+
 def test_html_odd_rows(spark, odd, none):
     found = html_extract.extract_main_text(odd.withColumnRenamed("text", "html").withColumn("main_text", F.lit(1))).collect()
     assert len(found) == len(ODD) and {r.main_text for r in found if r.doc_id in (None, 1, 2, 3)} == {""}
