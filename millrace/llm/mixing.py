@@ -9,8 +9,8 @@ between bounds (0 and 4 by default: no document comes more often than four times
 
 Closest is a small weight ``NEAR`` on the rates' squared distance from 1. Then the best rate of a document is 1 less a combination
 of its posteriors, cut to the bounds, by one factor for each domain. The factors minimise a convex function of as many variables as
-there are domains, whose value and derivatives are sums over all documents: a damped Newton step is one aggregation. The fit ends
-when the gradient is ``EXACT``, and raises an error if it can't get there.
+there are domains, whose derivatives are sums over all documents: a damped Newton step is one aggregation. The fit ends when the
+gradient is ``EXACT``, and raises an error if it can't get there.
 """
 
 from __future__ import annotations
@@ -132,37 +132,80 @@ def calibrate(known: list[tuple[list[float], int]], n: int, steps: int = 150) ->
     return scale, offsets
 
 
-def fit(sums: Callable[[list[float]], tuple[float, list[float], list[list[float]]]], wanted: list[float], steps: int) -> list[float]:
-    """The factors of the best rates; ``wanted`` and the sums are shares of all words.
+def _descend(at: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], start: np.ndarray, goal: float, damping: float, steps: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Minimise a convex function, given by its gradient and curvature, in ``steps`` calls of it at most: the place, the gradient and whether it is done.
 
-    For factors, ``sums`` gives the sum of the integrals of the cut rates, the domains' totals at these rates, and the sums of
-    the products of posteriors over the documents whose rates are between the bounds.
+    Newton steps, damped by a multiple of the identity that falls while whole steps go well. A step after which the slope along
+    it is no longer falling, or has hardly changed, went over a kink, or stopped short of one: then the line is searched
+    between the nearest points on both sides, by Newton steps from either, the far one first.
     """
-    k = range(len(wanted))
-
-    def at(factors: list[float]) -> tuple[float, np.ndarray, np.ndarray]:
-        integral, totals, free = sums(factors)
-        value = integral + sum(f * w for f, w in zip(factors, wanted, strict=True)) + NEAR / 2 * sum(f * f for f in factors)
-        return value, np.array([NEAR * factors[i] - totals[i] + wanted[i] for i in k]), np.array(free) + NEAR * np.eye(len(wanted))
-
-    factors = [0.0] * len(wanted)
-    value, gradient, curve = at(factors)
-    goal = EXACT * min([w for w in wanted if w > 0], default=1.0)
+    place = start
+    gradient, curve = at(place)
     used = 1
-    while max(map(abs, gradient)) > goal:
-        move, length = -np.linalg.solve(curve, gradient), 1.0
+    while True:
+        # what doubles can tell of a rate, where factors are large
+        if max(abs(gradient)) <= max(goal, 1e-15 * (1 + max(abs(place)))):
+            return place, gradient, True
+        move = -np.linalg.solve(curve + damping * np.eye(len(place)), gradient)
+        fall = -float(gradient @ move)
+        below, above, length, tries = (0.0, -fall, float(move @ curve @ move)), None, 1.0, 0
         while True:
             if used == steps:
-                raise RuntimeError(f"the rates' fit did not converge in {steps} steps: gradient {gradient.tolist()}, goal {goal}")
-            tried = [float(f + length * m) for f, m in zip(factors, move, strict=True)]
+                return place, gradient, False
+            tried = place + length * move
             new = at(tried)
             used += 1
-            # near the end the value no longer tells, but the gradient does
-            if new[0] <= value + 1e-4 * length * float(gradient @ move) or max(map(abs, new[1])) <= max(goal, 0.5 * max(map(abs, gradient))):
+            tries += 1
+            slope, bend = float(new[0] @ move), float(move @ new[1] @ move)
+            if max(abs(new[0])) <= goal or (slope <= 0.3 * fall and (slope >= -0.9 * fall or length >= 1)):
+                break
+            if slope > 0:
+                above = (length, slope, bend)
+            else:
+                below = (length, slope, bend)
+            length = above[0] - above[1] / above[2]
+            if not below[0] < length < above[0]:
+                length = below[0] - below[1] / below[2]
+            if not below[0] < length < above[0] or tries % 4 == 0:
+                length = (below[0] + above[0]) / 2
+        place, (gradient, curve) = tried, new
+        damping = damping * 3 if tries > 1 else damping / 3
+
+
+def fit(sums: Callable[[list[float]], tuple[list[float], list[list[float]]]], wanted: list[float], steps: int) -> list[float]:
+    """The factors of the best rates; ``wanted`` and the sums are shares of all words.
+
+    For factors, ``sums`` gives the domains' totals at the cut rates, and the sums of the products of posteriors over the
+    documents whose rates are between the bounds.
+
+    The first descent, from factors of 0, ends for the tables known. Where few documents are between the bounds it can creep
+    from kink to kink; then weights of the rates' distance are gone through that fall to ``NEAR`` by threes, each from where
+    the line through the factors of the two before, over the weight's inverse, leads (at an infinite weight they are 0).
+    """
+    target = np.array(wanted, float)
+    nothing = np.zeros(len(wanted))
+
+    def weighted(near: float) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        def at(factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            totals, free = sums([float(f) for f in factors])
+            return near * factors - np.array(totals) + target, np.array(free) + near * np.eye(len(wanted))
+
+        return at
+
+    goal = EXACT * min([w for w in wanted if w > 0], default=1.0)
+    factors, gradient, done = _descend(weighted(NEAR), nothing, goal, 1e-2, steps)
+    if not done:
+        # the factors and the inverse of the weight of the last two stages
+        before, last, near = (nothing, 0.0), (nothing, 0.0), 1e-2
+        while not done:
+            ahead = (1 / near - last[1]) / (last[1] - before[1]) if last[1] > before[1] else 0.0
+            factors, gradient, done = _descend(weighted(near), last[0] + ahead * (last[0] - before[0]), goal if near == NEAR else 1e-3 * math.sqrt(near), near / 10, steps)
+            if near == NEAR:
                 break
-            length /= 2
-        factors, (value, gradient, curve) = tried, new
-    return factors
+            before, last, near, done = last, (factors, 1 / near), max(NEAR, near / 3), False
+    if not done:
+        raise RuntimeError(f"the rates' fit did not converge, with {steps} steps a descent: gradient {gradient.tolist()}, goal {goal}")
+    return factors.tolist()
 
 
 def mix(
@@ -173,7 +216,7 @@ def mix(
 
     ``labelled`` has ``key`` and ``domain``; ``targets`` gives the domains and their weights, which are scaled to a sum of 1.
     The budget is the documents' own number of words, or, with an ``anchor``, what gives that domain ``headroom`` times its
-    own words. ``bounds`` are those of the rates; ``steps`` is how many aggregations the fit may take before it raises an error.
+    own words. ``bounds`` are those of the rates; ``steps`` is how many aggregations a descent of the fit may take; where the last one takes more, an error is raised.
     ``copies`` is the rate rounded up or down by a hash of the document, so its expectation is the rate. Totals that no rates
     between the bounds can bring within ``NEARLY`` of their targets are told in a warning, with the shares that are reached.
 
@@ -202,16 +245,15 @@ def mix(
     def cut(free: Column) -> Column:
         return F.least(F.lit(high), F.greatest(F.lit(low), free))
 
-    def sums(factors: list[float]) -> tuple[float, list[float], list[list[float]]]:
+    def sums(factors: list[float]) -> tuple[list[float], list[list[float]]]:
         rows = table.select(words.alias("w"), *p, free_rate(factors).alias("free")).withColumn("cut", cut(F.col("free")))
         inside = F.when((F.col("free") > low) & (F.col("free") < high), F.col("w")).otherwise(0)
-        integral = F.sum(F.col("w") * F.col("cut") * (F.col("free") - F.col("cut") / 2)).alias("v")
-        now = rows.agg(integral, *[F.sum(F.col("w") * p[i] * F.col("cut")).alias(f"t{i}") for i in k], *[F.sum(inside * p[i] * p[j]).alias(f"a{i}_{j}") for i, j in pairs]).first()
-        return now["v"] / n, [now[f"t{i}"] / n for i in k], [[now[f"a{min(i, j)}_{max(i, j)}"] / n for j in k] for i in k]
+        now = rows.agg(*[F.sum(F.col("w") * p[i] * F.col("cut")).alias(f"t{i}") for i in k], *[F.sum(inside * p[i] * p[j]).alias(f"a{i}_{j}") for i, j in pairs]).first()
+        return [now[f"t{i}"] / n for i in k], [[now[f"a{min(i, j)}_{max(i, j)}"] / n for j in k] for i in k]
 
     factors = fit(sums, [s * budget / n for s in share], steps) if n else [0.0 for _ in k]
     if n:
-        reached = [t * n / budget for t in sums(factors)[1]]
+        reached = [t * n / budget for t in sums(factors)[0]]
         if any(abs(r - s) > NEARLY * s for r, s in zip(reached, share, strict=True)):
             told = ", ".join(f"{d} {r:.4f} of {s:.4f}" for d, r, s in zip(domains, reached, share, strict=True))
             warnings.warn(f"the domains' totals, as parts of the budget, miss their targets: {told}", stacklevel=2)

@@ -294,6 +294,20 @@ def test_mixing_fit_is_finished(spark, monkeypatch):
         assert (r - np.clip(r - slope, 0, 4) == pytest.approx(0, abs=1e-5)) and (r > 0).any()
 
 
+@pytest.mark.parametrize("seed", [42, 130])
+def test_mixing_fit_out_of_reach(spark, monkeypatch, seed):
+    """Targets out of reach, few documents between the bounds: a fit by steps cut in halves doesn't end; the second table needs falling weights."""
+    rng = np.random.default_rng(seed)
+    w, p = rng.integers(1, 900, 40), rng.dirichlet([2, 0.05, 0.1], 40)
+    rows = [(i, i, int(n), 1, *map(float, x)) for i, (n, x) in enumerate(zip(w, p, strict=True))]
+    table = spark.createDataFrame(rows, "doc long, hash long, n long, rows long, p0 double, p1 double, p2 double").coalesce(1)
+    monkeypatch.setattr(mixing, "posteriors", lambda *_: table)
+    with pytest.warns(UserWarning, match="miss their targets"):
+        r = np.array([x.rate for x in mixing.mix(None, None, **entry.MIX).orderBy("doc_id").collect()])
+    gap = (w * r) @ p - np.array([0.95, 0.01, 0.04]) * 1.15 * (w @ p[:, 0]) / 0.95
+    assert r - np.clip(r - p @ gap / w.sum(), 0, 4) == pytest.approx(0, abs=1e-5)
+
+
 # -- 7 ---------------------------------------------------------------------------------------------------------------
 
 
