@@ -5,8 +5,9 @@ position (a shorter line is one shingle). Lines are alike at a Jaccard similarit
 and are one node.
 
 1. Lines are not written: each use splits the texts again. A line is encoded with four bytes a code point, so that the shingle at
-   any position is a slice of bytes, found without a walk from the line's start. Shingles are exploded, hashed and aggregated to
-   minima under ``BANDS * ROWS`` functions, per line key: equal lines combine before the shuffle, and no text is shuffled. The
+   any position is a slice of bytes, found without a walk from the line's start. Shingles are exploded, ``STEP`` of them a row,
+   hashed and aggregated to minima under ``BANDS * ROWS`` functions, per line key: equal lines combine before the shuffle, and no
+   text is shuffled. The
    functions are the combinations of one, two or three rotations of the 64-bit hash by multiples of 16 bits; their leading bits
    are different sums (modulo 2) of the hash's four independent words, so any two are independent.
 2. Banding: lines meet in a bucket for each band of ``ROWS`` minima. Two lines at similarity 0.8 share one of the seven bands of
@@ -42,6 +43,8 @@ SHINGLE, BANDS, ROWS, BLANKS = 12, 7, 2, " \t\r\u00a0"
 BLOCK, PIVOTS, WORDS = 1024, 256, 16
 #: Bytes of a code point in ``UNITS``; bits of a word of the table by which lines in no bucket are passed over, and its words at most.
 WIDTH, UNITS, WORD, TABLE = 4, "UTF-32", 64, 1 << 18
+#: Shingles that are exploded as one row and combined before they reach an aggregate's buffer.
+STEP = 4
 
 
 def folded(line: Column) -> Column:
@@ -73,15 +76,24 @@ def document_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("lk", F.when(F.col("line") == "", F.xxhash64("doc", "hash", "pos")).otherwise(F.xxhash64("line")))
 
 
+def _least(columns: list[Column]) -> Column:
+    return F.least(*columns) if len(columns) > 1 else columns[0]
+
+
 def _signatures(lines: DataFrame) -> DataFrame:
     """A row per line key: the minima of its shingles' hashes, and its shingles over all occurrences as a weight."""
-    encoded = lines.select("lk", F.encode("line", UNITS).alias("units"))
-    each = encoded.select("lk", "units", F.explode(_starts(F.col("units"))).alias("i")).select("lk", _hash(F.col("units"), F.col("i")).alias("r0"))
-    turned = [F.shiftleft("r0", k).bitwiseOR(F.shiftrightunsigned("r0", 64 - k)).alias(f"r{k // 16}") for k in (16, 32, 48)]
-    choices = [c for n in (1, 2, 3) for c in combinations(["r0", "r1", "r2", "r3"], n)]
-    functions = [reduce(lambda a, b: a.bitwiseXOR(b), [F.col(r) for r in c]) for c in choices]
-    minima = [F.min(f).alias(f"m{i}") for i, f in enumerate(functions[: BANDS * ROWS])]
-    return each.select("lk", "r0", *turned).groupBy("lk").agg(F.count("*").alias("weight"), *minima)
+    units = F.encode("line", UNITS)
+    encoded = lines.select("lk", units.alias("units")).withColumn("last", F.greatest(F.length("units") - (SHINGLE * WIDTH - 1), F.lit(1)))
+    rows = encoded.select("lk", "units", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(STEP * WIDTH))).alias("i"))
+    k = range(STEP)
+    # a row at the line's end repeats its last shingle, which no minimum minds; the weight counts each shingle once
+    places = [F.least(F.col("i") + j * WIDTH, F.col("last")) if j else F.col("i") for j in k]
+    n = F.least(F.lit(STEP), F.expr(f"(last - i) div {WIDTH} + 1"))
+    each = rows.select("lk", n.alias("n"), *[_hash(F.col("units"), place).alias(f"r0_{j}") for j, place in enumerate(places)])
+    turned = [F.shiftleft(f"r0_{j}", b).bitwiseOR(F.shiftrightunsigned(f"r0_{j}", 64 - b)).alias(f"r{b // 16}_{j}") for b in (16, 32, 48) for j in k]
+    choices = [c for n in (1, 2, 3) for c in combinations(["r0", "r1", "r2", "r3"], n)][: BANDS * ROWS]
+    minima = [F.min(_least([reduce(lambda a, b: a.bitwiseXOR(b), [F.col(f"{r}_{j}") for r in c]) for j in k])).alias(f"m{i}") for i, c in enumerate(choices)]
+    return each.select("lk", "n", *[f"r0_{j}" for j in k], *turned).groupBy("lk").agg(F.sum("n").alias("weight"), *minima)
 
 
 def _members(signatures: DataFrame) -> DataFrame:
@@ -115,12 +127,19 @@ def _alike(a: Column, b: Column, threshold: float) -> Column:
 
 def _bitmaps(texts: DataFrame) -> DataFrame:
     """``lk``, the ``size`` of its set and the set's bitmap, ``w0`` and on."""
-    each = texts.select("lk", F.explode(shingle_set(F.col("line"))).alias("h"))
+    sets = texts.select("lk", shingle_set(F.col("line")).alias("set"))
+    rows = sets.select("lk", "set", F.explode(F.sequence(F.lit(0), F.size("set") - 1, F.lit(STEP))).alias("i"))
+    k = range(STEP)
     # bits that the minima of the bands do not order by
-    place = F.shiftrightunsigned(F.xxhash64("h"), 7).bitwiseAND(F.lit(64 * WORDS - 1))
-    each = each.select("lk", F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    words = [F.coalesce(F.bit_xor(F.when(F.col("word") == w, F.col("bit"))), F.lit(0).cast("bigint")).alias(f"w{w}") for w in range(WORDS)]
-    return each.groupBy("lk").agg(F.count("*").cast("int").alias("size"), *words)
+    bits = [F.shiftrightunsigned(F.xxhash64(F.get("set", F.col("i") + j)), 7).bitwiseAND(F.lit(64 * WORDS - 1)) for j in k]
+    # beyond the set's end, a place in no word
+    places = [F.when(F.col("i") + j < F.size("set"), bit).otherwise(F.lit(-1)).alias(f"place{j}") for j, bit in enumerate(bits)]
+    each = rows.select("lk", F.least(F.lit(STEP), F.size("set") - F.col("i")).alias("n"), *places)
+    flips = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(f"place{j}").bitwiseAND(F.lit(63)).cast("int")).alias(f"bit{j}") for j in k]
+    each = each.select("lk", "n", *[F.shiftright(f"place{j}", 6).alias(f"word{j}") for j in k], *flips)
+    own = [[F.when(F.col(f"word{j}") == w, F.col(f"bit{j}")).otherwise(F.lit(0).cast("bigint")) for j in k] for w in range(WORDS)]
+    words = [F.bit_xor(reduce(lambda a, b: a.bitwiseXOR(b), x)).alias(f"w{w}") for w, x in enumerate(own)]
+    return each.groupBy("lk").agg(F.sum("n").cast("int").alias("size"), *words)
 
 
 def _side(table: DataFrame, s: str) -> DataFrame:

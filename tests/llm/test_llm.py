@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import collections
+import functools
 import hashlib
 import io
+import itertools
 import random
 import zlib
 
@@ -444,6 +446,30 @@ def test_line_bitmaps_lose_no_pair(spark):
     assert alike <= found and len(alike) > 20 and len(apart) > 500 and len(found & apart) <= len(apart) // 100
 
 
+@pytest.mark.parametrize("step", [1, 3, 4])
+def test_line_shingles_in_steps(spark, monkeypatch, step):
+    """Rows of several shingles give the minima, weights and bitmaps of the shingles one by one, at all lengths of a line."""
+    monkeypatch.setattr(line_dedup, "STEP", step)
+    lines = [(i, "".join(chr(0x1F300 + k * k * 31 % 500) for k in range(i))) for i in range(1, 40)] + [(100, "ab" * 50), (100, "ab" * 50), (101, "x" * 13)]
+    df = spark.createDataFrame(lines, "lk long, line string")
+    each = df.select("lk", F.explode(F.sequence(F.lit(1), F.greatest(F.length("line") - 11, F.lit(1)))).alias("i"), "line")
+    hashes = each.select("lk", F.xxhash64(F.encode(F.substring("line", F.col("i"), F.lit(12)), "UTF-32")).alias("h")).withColumn("p", F.xxhash64("h")).collect()
+    want, sets = collections.defaultdict(list), collections.defaultdict(dict)
+    for r in hashes:
+        want[r.lk].append(r.h)
+        sets[r.lk][r.h] = (r.p % 2**64 >> 7) % (64 * line_dedup.WORDS)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    turn = lambda h, b: ((h << b) | (h % 2**64 >> 64 - b)) % 2**64
+    for r in line_dedup._signatures(df).collect():
+        turned = [[turn(h % 2**64, b) for b in (0, 16, 32, 48)] for h in want[r.lk]]
+        choices = [c for n in (1, 2, 3) for c in itertools.combinations(range(4), n)]
+        minima = [min(signed(functools.reduce(int.__xor__, (t[i] for i in c))) for t in turned) for c in choices]
+        assert (r.weight, [r[f"m{i}"] for i in range(14)]) == (len(want[r.lk]), minima)
+    for r in line_dedup._bitmaps(df.distinct()).collect():
+        bits = functools.reduce(int.__xor__, (1 << p for p in sets[r.lk].values()))
+        assert (r.size, sum(r[f"w{w}"] % 2**64 << 64 * w for w in range(line_dedup.WORDS))) == (len(sets[r.lk]), bits)
+
+
 def test_line_dedup_odd_rows(spark, odd, none):
     rows = line_dedup.dedup_lines(odd).collect()
     assert len(rows) == len(ODD) and line_dedup.dedup_lines(none).count() == 0
