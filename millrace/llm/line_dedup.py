@@ -44,7 +44,7 @@ BLOCK, PIVOTS, WORDS = 1024, 256, 16
 #: Bytes of a code point in ``UNITS``; bits of a word of the table by which lines in no bucket are passed over, and its words at most.
 WIDTH, UNITS, WORD, TABLE = 4, "UTF-32", 64, 1 << 18
 #: Shingles that are exploded as one row and combined before they reach an aggregate's buffer.
-STEP = 4
+STEP = 2
 
 
 def folded(line: Column) -> Column:
@@ -62,10 +62,19 @@ def _hash(units: Column, start: Column) -> Column:
     return F.xxhash64(F.substring(units, start, F.lit(SHINGLE * WIDTH)))
 
 
-def shingle_set(line: Column) -> Column:
-    """The hashes of the line's shingles, each once."""
-    # within a lambda, so that the line is encoded once
-    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, UNITS)), lambda units: F.transform(_starts(units), lambda i: _hash(units, i)))))
+def shingles(*lines: Column) -> Column:
+    """The hashes of the lines' shingles, one for each place."""
+    # within a lambda, so that a line is encoded once
+    units = F.array(*[F.encode(line, UNITS) for line in lines])
+    return F.flatten(F.transform(units, lambda units: F.transform(_starts(units), lambda i: _hash(units, i))))
+
+
+def _with_set(table: DataFrame, *lines: str) -> DataFrame:
+    """The columns but the lines, and ``set``, the hashes of all their shingles, each once."""
+    # lambdas are not compiled; a generator between them and the rest lets the rest be compiled
+    each = F.explode(F.array(shingles(*[F.col(line) for line in lines]))).alias("each")
+    rows = table.select(*[c for c in table.columns if c not in lines], each)
+    return rows.withColumn("each", F.array_distinct("each")).withColumnRenamed("each", "set")
 
 
 def document_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -76,8 +85,9 @@ def document_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("lk", F.when(F.col("line") == "", F.xxhash64("doc", "hash", "pos")).otherwise(F.xxhash64("line")))
 
 
-def _least(columns: list[Column]) -> Column:
-    return F.least(*columns) if len(columns) > 1 else columns[0]
+def _lower(a: str, b: str) -> Column:
+    """The lesser of two columns that are never null; ``least`` compiles to jumps that depend on the values, this to a move."""
+    return F.expr(f"if({a} < {b}, {a}, {b})")
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
@@ -87,13 +97,19 @@ def _signatures(lines: DataFrame) -> DataFrame:
     rows = encoded.select("lk", "units", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(STEP * WIDTH))).alias("i"))
     k = range(STEP)
     # a row at the line's end repeats its last shingle, which no minimum minds; the weight counts each shingle once
-    places = [F.least(F.col("i") + j * WIDTH, F.col("last")) if j else F.col("i") for j in k]
-    n = F.least(F.lit(STEP), F.expr(f"(last - i) div {WIDTH} + 1"))
+    places = [F.expr(f"if(i + {j * WIDTH} < last, i + {j * WIDTH}, last)") if j else F.col("i") for j in k]
+    n = F.expr(f"if(last - i < {STEP * WIDTH}, (last - i) div {WIDTH} + 1, {STEP}L)")
     each = rows.select("lk", n.alias("n"), *[_hash(F.col("units"), place).alias(f"r0_{j}") for j, place in enumerate(places)])
     turned = [F.shiftleft(f"r0_{j}", b).bitwiseOR(F.shiftrightunsigned(f"r0_{j}", 64 - b)).alias(f"r{b // 16}_{j}") for b in (16, 32, 48) for j in k]
-    choices = [c for n in (1, 2, 3) for c in combinations(["r0", "r1", "r2", "r3"], n)][: BANDS * ROWS]
-    minima = [F.min(_least([reduce(lambda a, b: a.bitwiseXOR(b), [F.col(f"{r}_{j}") for r in c]) for j in k])).alias(f"m{i}") for i, c in enumerate(choices)]
-    return each.select("lk", "n", *[f"r0_{j}" for j in k], *turned).groupBy("lk").agg(F.sum("n").alias("weight"), *minima)
+    each = each.select("lk", "n", *[f"r0_{j}" for j in k], *turned)
+    choices = list(enumerate([c for n in (1, 2, 3) for c in combinations(["r0", "r1", "r2", "r3"], n)][: BANDS * ROWS]))
+    each = each.select("lk", "n", *[reduce(lambda a, b: a.bitwiseXOR(b), [F.col(f"{r}_{j}") for r in c]).alias(f"m{i}_{j}") for i, c in choices for j in k])
+    left = STEP
+    while left > 1:  # the row's values in rounds, each against one of the other half
+        half = (left + 1) // 2
+        each = each.select("lk", "n", *[(_lower(f"m{i}_{j}", f"m{i}_{j + half}") if j + half < left else F.col(f"m{i}_{j}")).alias(f"m{i}_{j}") for i, _ in choices for j in range(half)])
+        left = half
+    return each.groupBy("lk").agg(F.sum("n").alias("weight"), *[F.min(f"m{i}_0").alias(f"m{i}") for i, _ in choices])
 
 
 def _members(signatures: DataFrame) -> DataFrame:
@@ -101,45 +117,38 @@ def _members(signatures: DataFrame) -> DataFrame:
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     buckets = signatures.select("lk", "weight", F.explode(F.array(*bands)).alias("bucket"))
     whole = Window.partitionBy("bucket")
-    placed = buckets.select("bucket", "lk", F.max(F.struct("weight", "lk")).over(whole)["lk"].alias("pivot"), F.count("*").over(whole).alias("n"))
-    return placed.where("n > 1").drop("n")
+    # most buckets hold one line, so the pivot is sought in the others only
+    shared = buckets.withColumn("n", F.count("*").over(whole)).where("n > 1")
+    return shared.select("bucket", "lk", F.max(F.struct("weight", "lk")).over(whole)["lk"].alias("pivot"))
 
 
 def _texts(lines: DataFrame, placed: DataFrame) -> DataFrame:
     """``lk`` and ``line`` of the lines in buckets.
 
     A table of bits for the keys' low bits, of ``TABLE`` words at most however many lines there are, passes over most lines in no
-    bucket before their texts are shuffled; the semi-join does the rest.
+    bucket before their texts are shuffled; the join does the rest. It is no semi-join, which Spark would move below the table.
     """
     place = F.col("lk").bitwiseAND(F.lit(TABLE * WORD - 1))
     word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(WORD - 1)).cast("int")
     wanted = placed.select("lk").distinct()
     words = wanted.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     passed = lines.select("lk", "line", word.alias("word"), bit.alias("bit")).join(F.broadcast(words), "word").where(F.getbit("bits", "bit") == 1)
-    return passed.select("lk", "line").join(wanted, "lk", "left_semi").groupBy("lk").agg(F.first("line").alias("line"))
-
-
-def _alike(a: Column, b: Column, threshold: float) -> Column:
-    fits = F.least(F.size(a), F.size(b)) >= threshold * F.greatest(F.size(a), F.size(b))
-    shared = F.size(F.array_intersect(a, b))
-    return fits & (shared * (1 + threshold) >= threshold * (F.size(a) + F.size(b)) - 1e-9)
+    return passed.select("lk", "line").join(wanted, "lk").groupBy("lk").agg(F.first("line").alias("line"))
 
 
 def _bitmaps(texts: DataFrame) -> DataFrame:
     """``lk``, the ``size`` of its set and the set's bitmap, ``w0`` and on."""
-    sets = texts.select("lk", shingle_set(F.col("line")).alias("set"))
-    rows = sets.select("lk", "set", F.explode(F.sequence(F.lit(0), F.size("set") - 1, F.lit(STEP))).alias("i"))
-    k = range(STEP)
-    # bits that the minima of the bands do not order by
-    bits = [F.shiftrightunsigned(F.xxhash64(F.get("set", F.col("i") + j)), 7).bitwiseAND(F.lit(64 * WORDS - 1)) for j in k]
-    # beyond the set's end, a place in no word
-    places = [F.when(F.col("i") + j < F.size("set"), bit).otherwise(F.lit(-1)).alias(f"place{j}") for j, bit in enumerate(bits)]
-    each = rows.select("lk", F.least(F.lit(STEP), F.size("set") - F.col("i")).alias("n"), *places)
-    flips = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(f"place{j}").bitwiseAND(F.lit(63)).cast("int")).alias(f"bit{j}") for j in k]
-    each = each.select("lk", "n", *[F.shiftright(f"place{j}", 6).alias(f"word{j}") for j in k], *flips)
-    own = [[F.when(F.col(f"word{j}") == w, F.col(f"bit{j}")).otherwise(F.lit(0).cast("bigint")) for j in k] for w in range(WORDS)]
-    words = [F.bit_xor(reduce(lambda a, b: a.bitwiseXOR(b), x)).alias(f"w{w}") for w, x in enumerate(own)]
-    return each.groupBy("lk").agg(F.sum("n").cast("int").alias("size"), *words)
+    rows = _with_set(texts, "line").withColumn("size", F.size("set"))
+    rows = rows.select("lk", "set", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(2 * STEP))).alias("i"))
+    k = range(2 * STEP)
+    # bits that the minima of the bands do not order by; beyond the set's end, a place in no word
+    bits = [F.shiftrightunsigned(F.xxhash64(F.get("set", F.col("i") + j)), 7).bitwiseAND(F.lit(64 * WORDS - 1)).cast("int") for j in k]
+    places = [F.when(F.col("i") + j < F.col("size"), bit).otherwise(F.lit(-1)).alias(f"place{j}") for j, bit in enumerate(bits)]
+    rows = rows.select("lk", F.expr(f"if(size - i < {2 * STEP}, size - i, {2 * STEP})").alias("n"), *places)
+    flips = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(f"place{j}").bitwiseAND(F.lit(63))).alias(f"bit{j}") for j in k]
+    rows = rows.select("lk", "n", *[F.shiftright(f"place{j}", 6).alias(f"word{j}") for j in k], *flips)
+    own = [" ^ ".join(f"if(word{j} = {w}, bit{j}, 0L)" for j in k) for w in range(WORDS)]
+    return rows.groupBy("lk").agg(F.sum("n").cast("int").alias("size"), *[F.expr(f"bit_xor({x})").alias(f"w{w}") for w, x in enumerate(own)])
 
 
 def _side(table: DataFrame, s: str) -> DataFrame:
@@ -156,10 +165,9 @@ def _possible(threshold: float) -> Column:
 
 
 def _exact(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that are alike; ``sizes`` is the sum of the sizes of a pair's sets, so that the size of their union decides."""
     near = pairs.join(texts.select(F.col("lk").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("lk").alias("b"), F.col("line").alias("lb")), "b")
-    # made by a generator, so that each set is made once a pair and the comparison is compiled
-    sets = F.explode(F.array(F.struct(shingle_set(F.col("la")).alias("a"), shingle_set(F.col("lb")).alias("b"))))
-    return near.select("a", "b", sets.alias("sets")).where(_alike(F.col("sets.a"), F.col("sets.b"), threshold)).select("a", "b")
+    return _with_set(near, "la", "lb").where(F.size("set") * (1 + threshold) <= F.col("sizes") + 1e-9).select("a", "b")
 
 
 def _met(threshold: float) -> Column:
@@ -169,7 +177,7 @@ def _met(threshold: float) -> Column:
 
 
 def _pairs(found: DataFrame) -> DataFrame:
-    return found.select(F.least("a_lk", "b_lk").alias("a"), F.greatest("a_lk", "b_lk").alias("b"))
+    return found.select(F.least("a_lk", "b_lk").alias("a"), F.greatest("a_lk", "b_lk").alias("b"), (F.col("a_size") + F.col("b_size")).alias("sizes"))
 
 
 def _by_pivots(rest: DataFrame, threshold: float) -> DataFrame:
@@ -193,6 +201,8 @@ def _across(rest: DataFrame, threshold: float) -> DataFrame:
     dealt = rest.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("x", F.pmod(F.xxhash64("lk"), "nb").cast("int"))
     spread = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     spread = spread.withColumn("low", F.least("x", "y")).withColumn("high", F.greatest("x", "y")).drop("n", "nb", "y")
+    # as columns that can't be null, which the comparisons needn't ask for
+    spread = spread.withColumns({c: F.coalesce(c, F.lit(0).cast(kind)) for c, kind in spread.dtypes if c in ("lk", "comp", "size", "x", *(f"w{w}" for w in range(WORDS)))})
     block = (F.col("a_low") == F.col("b_low")) & (F.col("a_high") == F.col("b_high"))
     # blocks of one number meet in full, others in one direction
     once = (F.col("a_x") < F.col("b_x")) | ((F.col("a_x") == F.col("b_x")) & (F.col("a_low") == F.col("a_high")) & (F.col("a_lk") < F.col("b_lk")))
@@ -214,7 +224,7 @@ def line_classes(lines: DataFrame, threshold: float = 0.8) -> DataFrame:
     bitmaps = materialize(_bitmaps(texts), "line-bitmaps")
     star = placed.where("lk <> pivot").select("pivot", "lk").distinct()
     star = star.join(_side(bitmaps, "a"), F.col("pivot") == F.col("a_lk")).join(_side(bitmaps, "b"), F.col("lk") == F.col("b_lk"))
-    star = star.where(_possible(threshold)).select(F.col("pivot").alias("a"), F.col("lk").alias("b"))
+    star = _pairs(star.where(_possible(threshold)))
     edges = materialize(_exact(star, texts, threshold), "line-links")
     comps = components(edges)
     tables = [placed, texts, bitmaps, edges, comps]
@@ -269,7 +279,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     own = [c for c in docs.columns if c not in (text, *new)]
     # the caller's columns go along as one, so that no name of theirs can clash with one of these
     rows = docs.select(carried(own).alias("row"), F.col(f"`{key}`").alias("doc"), F.xxhash64(whole).alias("hash"), whole.alias("text"))
-    feeds = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    feeds = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     rows = rows.withColumn("n_lines", feeds + 1)
     if not with_text:
         rows = rows.drop("text")

@@ -470,6 +470,34 @@ def test_line_shingles_in_steps(spark, monkeypatch, step):
         assert (r.size, sum(r[f"w{w}"] % 2**64 << 64 * w for w in range(line_dedup.WORDS))) == (len(sets[r.lk]), bits)
 
 
+def test_line_texts_are_passed_over_before_the_shuffle(spark):
+    """The table of bits stands below the join by line keys, so that only texts that it lets through are shuffled."""
+    lines = spark.createDataFrame([(i, f"line {i}") for i in range(50)], "lk long, line string")
+    texts = line_dedup._texts(lines, spark.createDataFrame([(i, i % 3) for i in range(0, 50, 10)], "lk long, bucket long"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = texts._jdf.queryExecution().sparkPlan().toString()
+        assert {(r.lk, r.line) for r in texts.collect()} == {(i, f"line {i}") for i in range(0, 50, 10)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert 0 <= plan.find("SortMergeJoin") < plan.find("BroadcastHashJoin")
+
+
+def test_line_pairs_by_their_union(spark):
+    """The size of the union decides as intersection over union does, at the threshold too, with repeated shingles and short lines."""
+    rng = random.Random(3)
+    long = "".join(chr(0x1F300 + i) for i in range(92))  # 81 shingles, of which 9 less is 8 in 10 of the union
+    lines = [long, *(long[k:] + long[:k] for k in (1, 9)), *(long[:-k] for k in range(14, 20)), "ab" * 30, "ab" * 7, "x", "xy", "x" * 12, "x" * 40]
+    lines += ["".join(rng.choice("ab") for _ in range(n)) * 2 for n in (5, 20, 20)]
+    sets = [{x[k : k + 12] for k in range(max(1, len(x) - 11))} for x in lines]
+    pairs = [(a, b, len(sets[a]) + len(sets[b])) for b in range(len(lines)) for a in range(b)]
+    texts = spark.createDataFrame(list(enumerate(lines)), "lk long, line string")
+    found = {(r.a, r.b) for r in line_dedup._exact(spark.createDataFrame(pairs, "a long, b long, sizes int"), texts, 0.8).collect()}
+    want = {(a, b) for a, b, _ in pairs if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    assert found == want and any(10 * len(sets[a] & sets[b]) == 8 * len(sets[a] | sets[b]) for a, b in want)
+
+
 def test_line_dedup_odd_rows(spark, odd, none):
     rows = line_dedup.dedup_lines(odd).collect()
     assert len(rows) == len(ODD) and line_dedup.dedup_lines(none).count() == 0
